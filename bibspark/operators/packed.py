@@ -421,3 +421,24 @@ def resolve_path(path: str) -> str:
 def bib_fields(*names: str) -> dict[str, Column]:
     """Columns of the packed fields of bib_entry."""
     return {f: F.col("field_map").getItem(f) for f in names or KINDS}
+
+
+def count_items(df: DataFrame, keys: list[str], fields: dict[str, Column], codes: Codes) -> DataFrame:
+    """(keys, n_file, n_keywords, ...): number of different items of each field of a row.
+
+    Attachment paths are resolved and keep their letter case; other items are compared ignoring it.
+    """
+    names = list(fields)
+    shared = df.sparkSession.sparkContext.broadcast(codes)
+
+    def count(batches):
+        codes = shared.value
+        for b in batches:
+            cols = []
+            for f in names:
+                fold = resolve_path if f == "file" else str.casefold
+                cols.append(pa.array([len({fold(x) for x in clean(f, codes.split(f, v))} - {""}) if v else 0 for v in b.column(f).to_pylist()], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), *cols], names=[*keys, *("n_" + f for f in names)])
+
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + "".join(f", n_{f} int" for f in names)
+    return df.select(*keys, *[c.alias(f) for f, c in fields.items()]).mapInArrow(count, schema)

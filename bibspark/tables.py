@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +59,26 @@ def task_count(spark: SparkSession) -> int:
 
 def local_path(*parts: str) -> str:
     return os.path.join(os.path.dirname(os.path.abspath(__file__)), *parts)
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a parquet table in the shared folder; removed when the driver ends."""
+    spark = df.sparkSession
+    at = f"{shared_dir(spark).rstrip('/')}/bibspark-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    _WRITTEN.append((spark, at))
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def _remove_written() -> None:
+    for spark, at in _WRITTEN:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the session may be gone
+            return
