@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import packed as P
 from ..tables import field, read
-from . import canonical_text, form_copies, survivors
+from . import byte_bpe, canonical_text, form_copies, leaked_passages, survivors
 
 SQL: dict[str, str] = {}
 
@@ -64,4 +64,19 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return form_copies.copy_counts(read(spark, sf_dir, "bib_entry"), "rec_id", _identity()).select(F.col("first").alias("first_rec_id"), F.col("copies").alias("n_copies"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p4_counts": p4_counts}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of the text of every document."""
+    return byte_bpe.encode_column(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stretch of an evaluation passage in a document, in characters of its text."""
+    return leaked_passages.leaked_spans(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "eval_item"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the evaluation items that leaked into them."""
+    return p9_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p4_counts": p4_counts, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
