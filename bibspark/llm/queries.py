@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import packed as P
-from ..tables import field, read
-from . import byte_bpe, canonical_text, form_copies, leaked_passages, survivors
+from ..tables import field, read, written
+from . import byte_bpe, canonical_text, form_copies, leaked_passages, name_variants, survivors
 
 SQL: dict[str, str] = {}
 
@@ -79,4 +79,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p4_counts": p4_counts, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every author of a record who is an entry of author_registry."""
+    bib, fields = read(spark, sf_dir, "bib_entry"), P.bib_fields("author")
+    names = written(P.split_fields(bib, ["rec_id"], fields, P.fit(bib, fields), post=name_variants.fold_name).select("rec_id", "pos", F.col("item").alias("name")))
+    entries = read(spark, sf_dir, "author_registry").select("person_id", "family", "given", (F.col("kind") == "organisation").alias("org")).where("person_id is not null").distinct()
+    registry = [tuple(r) for r in entries.collect()]  # a fixed table
+    return name_variants.link_mentions(names, "name", ["rec_id", "pos"], registry)
+
+
+QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p4_counts": p4_counts, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
