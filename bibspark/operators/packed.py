@@ -142,7 +142,9 @@ _NAMES = (
     (re.compile(r"[{}\\\"'’^~`.\u00ad\u200b-\u200d\u2060\ufeff\u0300-\u036f]+(?=\w)|(?<=\w)[{}\\\"'’^~`\u00ad\u200b-\u200d\u2060\ufeff\u0300-\u036f\-]+"), ""),
     (re.compile(r"\s+[aA][nN][dD]\s+"), "\x01"),
     (re.compile(r"\s*([;,|&\n])\s*"), r"\1"),
+    (re.compile(r"(?i)(?<!\w)(?:de|la|da|do|dos|das|van|von|der|den|del|di|du|le|al|el)[ \-]+(?=\w)"), ""),
     (re.compile(r"(?<![^\W_])[^\W\d_](?:\.|(?![^\W_]))(?:[ .\-]*(?<![^\W_])[^\W\d_](?:\.|(?![^\W_])))*|(?<!\w)[A-Z]{2,3}(?!\w)"), "\x02"),
+    (re.compile(r"\x02[.\- \x02]+(?=[;,|&\n\x01\x02]|$)"), "\x02"),
     (re.compile(r"[^\W_][\w.\-]*"), "\x03"),
     (re.compile(r"[^\S\n]+"), ""),
 )
@@ -215,6 +217,11 @@ class Codes:
             own = (CHAR_BITS if s[0] == "=" else SHAPE_BITS) * len(s)
             self.bits[f, s] = -math.log2(n / total) + own / n
         self.escape = {k: math.log2(max(2, v)) for k, v in totals.items()}
+        # dialects, given the kinds of delimiter that a value holds
+        self.seen: dict[tuple[str, str], int] = {}
+        self.used = {k: n for k, n in counts.items() if k[1][0] == "@"}
+        for (f, s), n in self.used.items():
+            self.seen[f, s.split(">")[0]] = self.seen.get((f, s.split(">")[0]), 0) + n
         self.chosen: dict[tuple[str, str], str] = {}
 
     def __getstate__(self):
@@ -224,13 +231,20 @@ class Codes:
         bits = self.bits.get((f, "~" + s))
         return self.escape.get((f, "~"), 8.0) + SHAPE_BITS * len(s) if bits is None else bits
 
+    def declared(self, f: str, present: str, kinds: str) -> float:
+        """Bits that declare a dialect; before dialects are counted, two for each delimiter."""
+        total = self.seen.get((f, "@" + present))
+        if total is None:
+            return 2.0 * len(kinds)
+        return -math.log2((self.used.get((f, f"@{present}>{kinds}"), 0) + 0.25) / (total + 1)) + 0.01 * len(kinds)
+
     def dialect(self, f: str, whole: str) -> str:
         """Cheapest dialect of a shape; a form that this value has used already costs one bit."""
         d = self.chosen.get((f, whole))
         if d is None:
             parses, best = shape_parses(f, whole), None
             for kinds, items in parses if len(parses) > 1 else ():
-                used, cost = set(), 2.0 * len(kinds)
+                used, cost = set(), self.declared(f, parses[-1][0], kinds)
                 for x in items:
                     cost += 1.0 if x in used or not x else self.form(f, x)
                     used.add(x)
@@ -334,6 +348,7 @@ def _forms(shapes: DataFrame, codes: Codes | None) -> DataFrame:
                 parses = shape_parses(f, s[1:])
                 if codes is not None:
                     d = codes.dialect(f, s[1:])
+                    c[f, f"@{parses[-1][0]}>{d}"] += n
                     parses = [p for p in parses if p[0] == d]
                 for x in {x for _, items in parses for x in items} if codes is None else [x for _, items in parses for x in items]:
                     if x:
