@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -31,9 +32,11 @@ from pyspark.sql import functions as F
 from .canonical_text import canonical
 
 SPACE = 1 << 16
-TOP = 10
-LEAST = 0.35
+TOP = 12
+LEAST = 0.25
 LINKAGE = 0.12
+#: part of the trigrams of an organisation that a spelling with abbreviated words keeps
+COVER = 0.33
 BLOCK = 3000
 REMEMBERED = 200_000
 
@@ -74,30 +77,24 @@ def fold_name(name: str) -> str:
 _TOKEN = re.compile(r"[^\W_]+")
 
 
-@lru_cache(maxsize=300_000)
-def _grams(word: str) -> tuple[str, ...]:
-    w = f"^{word}$"
-    return tuple({w[i : i + 3] for i in range(len(w) - 2)} | {w[i : i + 4] for i in range(len(w) - 3)})
-
-
-def _bucket(gram: str, known: dict[str, int]) -> int:
-    h = known.get(gram)
-    if h is None:
-        h = 2166136261
-        for c in gram:
-            h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
-        h = (h ^ h >> 16) % SPACE
-        if len(known) < REMEMBERED:
-            known[gram] = h
-    return h
+def _bucket(gram: str) -> int:
+    h = 2166136261
+    for c in gram:
+        h = (h ^ ord(c)) * 16777619 & 0xFFFFFFFF
+    return (h ^ h >> 16) % SPACE
 
 
-_BUCKETS: dict[str, int] = {}
+@lru_cache(maxsize=REMEMBERED)
+def _word_buckets(word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Buckets of the trigrams, and of the bigrams and trigrams, of a word with its ends marked."""
+    w = f"^{word}$"
+    three = {_bucket(w[i : i + 3]) for i in range(len(w) - 2)}
+    return tuple(three), tuple(three | {_bucket(w[i : i + 2]) for i in range(len(w) - 1)})
 
 
-def buckets(name: str) -> list[int]:
-    """Hashed n-grams of the words of a folded name."""
-    return list({_bucket(g, _BUCKETS) for w in _TOKEN.findall(name) for g in _grams(w)})
+def buckets(name: str, wide: bool = True) -> set[int]:
+    """Hashed n-grams of the words of a folded name; with ``wide`` also the bigrams."""
+    return set().union(*[_word_buckets(w)[wide] for w in _TOKEN.findall(name)])
 
 
 def document_frequencies(names: DataFrame, column: str) -> tuple[np.ndarray, int]:
@@ -108,7 +105,7 @@ def document_frequencies(names: DataFrame, column: str) -> tuple[np.ndarray, int
         for b in batches:
             for name, k in Counter(b.column(0).to_pylist()).items():
                 if name:
-                    df[buckets(name)] += k
+                    df[list(buckets(name))] += k
                     n += k
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(df[at], n), pa.int64())], names=["bucket", "n"])
@@ -153,6 +150,9 @@ class Person:
         self.short = _SHORT.get(self.first, [])
         self.initials = {self.first[:1], *(s[0] for s in self.short)}
 
+    def cores(self) -> list[tuple[str, Callable[[int], float]]]:
+        return [(self.joined, lambda n: n - 4)]
+
     def spellings(self) -> list[str]:
         f = " ".join(self.family)
         out = [f"{f} {' '.join(self.given)}".strip(), f"{f} {' '.join(g[0] for g in self.given)}".strip()]
@@ -214,6 +214,9 @@ class Organisation:
         self.words = [w for w in _TOKEN.findall(fold_name(name)) if w != "the"]
         self.acronym = "".join(w[0] for w in self.words if w not in ("of", "for", "and", "the"))
 
+    def cores(self) -> list[tuple[str, Callable[[int], float]]]:
+        return [(" ".join(self.words), lambda n: COVER * n), (self.acronym, lambda n: n)]
+
     def spellings(self) -> list[str]:
         return [" ".join(self.words), self.acronym]
 
@@ -227,35 +230,34 @@ class Organisation:
         total = 0
         for t, w in zip(tokens, self.words):
             short = t.strip(".")
-            if t == w or short == w or (t.endswith(".") or len(short) == 1) and _abbreviates(short, w):
+            if t == w or short == w or (t.endswith(".") or len(short) < 4) and _abbreviates(short, w):
                 continue
             total += one_edit(short, w)
         return total if total <= 2 else 9
 
 
 class Registry:
-    """Spellings of all entries as sparse vectors, by postings."""
+    """Spellings of all entries as sparse vectors; postings of the trigrams of their family or whole names."""
 
     def __init__(self, rows: list[tuple[int, str, str | None, bool]], df: np.ndarray, total: int):
         self.entries = [Organisation(i, f) if org else Person(i, f, g) for i, f, g, org in rows if f]
-        spelled = [(k, s) for k, e in enumerate(self.entries) for s in e.spellings() if s]
-        self.entry = np.array([k for k, _ in spelled], np.int64)
-        self.size = np.bincount(self.entry, minlength=len(self.entries)) if spelled else np.zeros(0)
-        self.idf = np.log((1 + total) / (1 + df)).astype(np.float64) + 1
-        cols, at, weight = [], [], []
-        for j, (_, s) in enumerate(spelled):
-            b = np.array(buckets(s), np.int64)
-            w = self.idf[b]
-            cols.append(b)
-            at.append(np.full(len(b), j))
-            weight.append(w / np.linalg.norm(w))
-        b = np.concatenate(cols) if cols else np.zeros(0, np.int64)
+        self.idf = np.log((1 + total) / (1 + df)) + 1
+        self.spelled = [[self._vector(s) for s in e.spellings() if s] for e in self.entries]
+        cores = [(k, list(buckets(c, False)), least) for k, e in enumerate(self.entries) for c, least in e.cores() if c]
+        b = np.array([x for _, c, _ in cores for x in c], np.int64)
+        at = np.repeat(np.arange(len(cores)), [len(c) for _, c, _ in cores])
+        self.core_entry = np.array([k for k, _, _ in cores], np.int64)
+        self.need = np.array([max(1.0, least(len(c))) for _, c, least in cores])
         order = np.argsort(b, kind="stable")
         self.start = np.searchsorted(b[order], np.arange(SPACE + 1))
-        self.spelling = (np.concatenate(at) if at else b)[order]
-        self.weight = (np.concatenate(weight) if weight else b.astype(float))[order]
+        self.core = at[order]
         self.known: dict[str, int | None] = {}
 
+    def _vector(self, name: str) -> dict[int, float]:
+        grams = list(buckets(name))
+        w = self.idf[grams]
+        return dict(zip(grams, (w / np.sqrt((w * w).sum())).tolist()))
+
     def link(self, names: list[str]) -> dict[str, int | None]:
         """Entry of each folded name, or None."""
         known = self.known
@@ -268,42 +270,37 @@ class Registry:
         return known
 
     def _link_block(self, names: list[str]) -> None:
-        grams = [buckets(n) for n in names]
-        counts = np.array([len(g) for g in grams])
-        b = np.array([x for g in grams for x in g], np.int64)
-        row = np.repeat(np.arange(len(names)), counts)
-        w = self.idf[b]
-        norm = np.sqrt(np.bincount(row, w * w, len(names)))
-        w = w / np.maximum(norm[row], 1e-9)
-        many = self.start[b + 1] - self.start[b]
-        owner = np.repeat(np.arange(len(b)), many)
-        first = np.cumsum(many) - many
-        post = np.repeat(self.start[b] - first, many) + np.arange(int(many.sum()))
-        m = len(self.entry)
-        scores = np.bincount(row[owner] * m + self.spelling[post], w[owner] * self.weight[post], len(names) * m).reshape(len(names), m) if m else np.zeros((len(names), 0))
         for n in names:
             self.known[n] = None
-        hit_row, hit_col = np.nonzero(scores >= LEAST)
-        value = scores[hit_row, hit_col]
-        order = np.lexsort((-value, hit_row))
-        hit_row, hit_col, value = hit_row[order], hit_col[order], value[order]
-        edge = np.searchsorted(hit_row, np.arange(len(names) + 1))
-        for i in np.flatnonzero(edge[1:] > edge[:-1]):
-            near = dict.fromkeys(self.entry[hit_col[edge[i] : edge[i + 1]]].tolist())
-            # ties and close relatives beyond TOP still count where they score as the last one kept
-            if len(near) > TOP:
-                cut = value[edge[i] + TOP - 1]
-                near = dict.fromkeys(self.entry[hit_col[edge[i] : edge[i + 1]]][value[edge[i] : edge[i + 1]] >= cut].tolist())
-            best = None
-            for k in near:
-                linkage = scores[i][self.entry == k].sum() / self.size[k] if len(near) > 1 else 1.0
-                if linkage < LINKAGE:
-                    continue
-                e = self.entries[k].edits(names[i])
-                if e < 9 and (best is None or (e, -linkage, self.entries[k].id) < best):
-                    best = (e, -linkage, self.entries[k].id)
-            if best:
-                self.known[names[i]] = best[2]
+        if not self.entries:
+            return
+        # candidates: one typing error changes at most four of the trigrams of a family name
+        grams = [buckets(n, False) for n in names]
+        b = np.array([x for g in grams for x in g], np.int64)
+        row = np.repeat(np.arange(len(names)), [len(g) for g in grams])
+        many = self.start[b + 1] - self.start[b]
+        owner = np.repeat(row, many)
+        post = np.repeat(self.start[b] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        m = len(self.core_entry)
+        shared = np.bincount(owner * m + self.core[post], minlength=len(names) * m).reshape(len(names), m)
+        hit_row, hit_core = np.nonzero(shared >= self.need)
+        near: dict[int, set[int]] = {}
+        for i, k in zip(hit_row.tolist(), self.core_entry[hit_core].tolist()):
+            near.setdefault(i, set()).add(k)
+        for i, entries in near.items():
+            vector = self._vector(names[i])
+            scored = []
+            for k in entries:
+                cosines = [sum(w * s[g] for g, w in vector.items() if g in s) for s in self.spelled[k]]
+                linkage = sum(cosines) / len(cosines)
+                if max(cosines) >= LEAST and linkage >= LINKAGE:
+                    scored.append((max(cosines), linkage, k))
+            if len(scored) > TOP:  # ties with the last one kept still count
+                last = sorted(scored, reverse=True)[TOP - 1][0]
+                scored = [x for x in scored if x[0] >= last]
+            fits = [(e, -linkage, self.entries[k].id) for _, linkage, k in scored if (e := self.entries[k].edits(names[i])) < 9]
+            if fits:
+                self.known[names[i]] = min(fits)[2]
 
 
 def link_mentions(mentions: DataFrame, name: str, keys: list[str], registry: list[tuple[int, str, str | None, bool]], out: str = "person_id") -> DataFrame:
