@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import packed as P
 from ..tables import field, read, written
-from . import byte_bpe, canonical_text, form_copies, leaked_passages, name_variants, survivors
+from . import byte_bpe, canonical_text, form_copies, leaked_passages, name_variants, scan_repair, survivors
 
 SQL: dict[str, str] = {}
 
@@ -79,6 +79,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every noisy line of the scanned pages with the kind of noise."""
+    return scan_repair.noise_lines(read(spark, sf_dir, "scanned_page"))
+
+
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanned pages as continuous paragraphs."""
+    return scan_repair.repaired_paragraphs(read(spark, sf_dir, "scanned_page"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every author of a record who is an entry of author_registry."""
     bib, fields = read(spark, sf_dir, "bib_entry"), P.bib_fields("author")
@@ -88,4 +98,4 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants.link_mentions(names, "name", ["rec_id", "pos"], registry)
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p4_counts": p4_counts, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
+QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
