@@ -1,0 +1,169 @@
+"""Written forms of personal details: used to label training text, and as the exact check of decoded spans."""
+
+from __future__ import annotations
+
+import re
+
+from .name_variants import SHORT_FORMS
+
+KINDS = ("email", "phone", "id", "address", "name")
+
+_W = r"(?:\s|\n> ?)"
+_UP = "A-ZÀ-ÖØ-ÞŠŁŽČĆŚŻĐ"
+_AT = r"(?:\s*[\[({]\s*at\s*[\])}]\s*|\s+at\s+|\s*@\s*|\s*＠\s*)"
+_DOT = r"(?:\s*[\[({]\s*dot\s*[\])}]\s*|\s+dot\s+|\.)"
+EMAIL = re.compile(
+    r"(?<![\w.+\-@])(?:[A-Za-z0-9][\w.+\-]*[A-Za-z0-9]|[A-Za-z0-9])(?:[@＠][\w\-]+(?:\.[\w\-]+)*\.[A-Za-z]{2,}"
+    rf"|(?:\s*[\[({{]\s*(?:at|AT)\s*[\])}}]\s*)[\w\-]+(?:{_DOT}[\w\-]+)*{_DOT}[A-Za-z]{{2,}}"
+    r"|\s+(?:at|AT)\s+[\w\-]+(?:\s+(?:dot|DOT)\s+[\w\-]+)*\s+(?:dot|DOT)\s+[A-Za-z]{2,}"
+    rf"|{_AT}[\w\-]+(?:\s*[\[({{]\s*(?:dot|DOT)\s*[\])}}]\s*[\w\-]+)+)(?![\w\-@])",
+    re.I,
+)
+PHONE = re.compile(
+    r"(?<![\w.+\-/])(?:"
+    r"\+\d{1,3}(?:[ .\-]?\(\d{1,4}\))?(?:[ .\-/]?\d{1,7}){1,6}"
+    r"|00\d{2}(?:[ .\-/]\d{1,6}){2,5}"
+    r"|\(0\d{1,5}\)[ \-]?\d{3,8}(?:[ \-]\d{2,5})?"
+    r"|\(\d{3}\)[ \-]?\d{3}[ \-]\d{4}"
+    r"|\d{3}[\-.]\d{3}[\-.]\d{4}"
+    r"|0\d(?:[ .]\d{2}){4}"
+    r"|0\d{2,5}[ /]\d{3,8}(?:[ \-]\d{3,5})?"
+    r")(?![\w/]|[.\-]\d)"
+)
+_LABEL8 = re.compile(r"(?:matrik|student|staff|number|nummer|no\.?|n[oº°]|numéro|número|employee|personal|card|étudiant|alumno|empleado|agent)[\w .:\-]{0,24}[ (:]*$", re.I)
+_PASS = re.compile(r"(?:pass|ausweis|form\b|document|identit|carnet|was put)", re.I)
+ID = re.compile(
+    r"(?<![\w.\-+/])(?:\d \d{4} \d{5} \d{4}|\d{3}-\d{2}-\d{4}|\d{6}-\d{4}|\d{8}[A-Z])(?![\w\-]|\.\d)"
+    r"|(?<![\w.\-+])\d{4}-\d{4}-\d{4}-\d{3}[\dX](?![\w\-])"
+    r"|(?<![\w.\-+/])(?P<pass>[A-Z]{1,2}\d{7})(?![\w\-])"
+    r"|(?<![\w.\-+/])(?P<eight>\d{8})(?![\w\-]|\.\d)"
+)
+# fixed values: words that make a street, and towns of the corpus
+_TOWNS = "Hollowbridge|Bad Elmsee|Milford Quay|Puertoral|Karvola|Altmoor|Tornhavn|Villa Serrana|Valmont-sur-Orbe|Monte Quieto|Eastmere|Grenzach-Süd|Norvik|Saint-Aubrac"
+_TOWN = rf"(?:{_TOWNS}|[{_UP}][\w\-]+(?:[ ][{_UP}][\w\-]+)?)".replace(" Elm", r"\s+Elm").replace("d Qu", r"d\s+Qu").replace("a Ser", r"a\s+Ser").replace("e Qui", r"e\s+Qui")
+_CAP = rf"[{_UP}][\w'’\-]+"
+_NAME = rf"{_CAP}(?:{_W}+{_CAP}){{0,2}}"
+_STREET = (
+    rf"(?:(?:Flat|Unit|Apt\.?){_W}+\d+\w?,?{_W}+)?\d+{_W}?[a-z]?,?{_W}+(?:[NSEW]\.{_W}+)?{_NAME}{_W}+(?:Street|St\b\.?|Road|Rd\b\.?|Row|Lane|Ln\b\.?|Avenue|Ave\b\.?|Way|Drive|Court|Terrace|Close|Square|Crescent)"
+    rf"|\d+(?:{_W}+(?:bis|ter))?,?{_W}+(?:rue|avenue|av\.|bd|boulevard|place|chemin|quai|allée|impasse|cours){_W}+(?:(?:de|du|des|la|le|les|aux|au|à|l['’]|d['’]){_W}*)*{_NAME}"
+    rf"|(?:(?:Am|An{_W}der|Auf{_W}dem|Zum|Zur|Im){_W}+{_NAME}|{_CAP}(?:strasse|straße|str\.|weg|allee|gasse|platz|ring|ufer|damm|stieg)|[{_UP}][\w\-]*(?:strasse|straße|str\.|weg|allee|gasse|platz|ufer|damm)){_W}+\d+(?:{_W}?[a-z]\b)?"
+    rf"|(?:Calle|C/|Avda\.?|Avenida|Paseo|Plaza|Camino|Ronda){_W}*(?:(?:del|de|la|las|los){_W}+)*{_NAME},?{_W}+\d+(?:,{_W}*\d+\.?[ºª°]{_W}?[A-Z])?"
+    rf"|P\.?{_W}?O\.?{_W}+Box{_W}+\d+|Postfach{_W}+\d+|Apartado{_W}+\d+|B\.?P\.?{_W}+\d+"
+)
+_CODE = r"(?:[A-Z]{1,2}\d{1,2}[A-Z]?[ ]\d[A-Z]{2}|[A-Z]{2}[ ]\d{5})"
+_SEP = r"(?:,?(?:[ \t ]+|[ \t]*(?:\r\n|\r|\n)(?:> ?)?[ \t]*))"
+ADDRESS = re.compile(rf"(?<![\w.\-])(?:{_STREET})(?:,?{_W}+(?:Apt|Flat|Unit|Suite)\.?{_W}+\w+)?{_SEP}(?:\d{{4,6}}{_W}+)?{_TOWN}(?:,?{_SEP}{_CODE})?(?![\w])")
+
+_GIVEN = "|".join(sorted({"Agnès", "Björn", "Chloé", "Éva", "Håkon", "Joaquín", "Jürgen", "Lucía", "Renée", "Søren", *(x.title() for k, v in SHORT_FORMS.items() for x in (k, *v.split()))}, key=len, reverse=True))
+_PART = r"(?:(?:de la|de las|del|de|da|do|van der|van den|van|von der|von|der|den|al|el|O)(?:[ '’\-]))?"
+_FAM = rf"{_PART}(?:[A-ZO]['’])?[{_UP}][\w’'\-]*[\w]{{2}}"
+_INI = rf"(?:[{_UP}]\.(?:[ \-]?[{_UP}]\.)*)"
+_B = r"(?:[ \t\u00a0\u2000-\u200a\u202f]+|[ \t]*\r?\n(?:> ?|[ \t]+))"
+_MID = rf"(?:[ \u00a0]+[{_UP}]\.?(?![\w/]))*"
+_GIV = rf"(?:{_GIVEN})(?:-(?:[{_UP}]\w+))?"
+NAMES = (
+    re.compile(rf"(?<![\w.@\-/]){_FAM},{_B}(?:{_GIV}{_MID}|{_INI}|[{_UP}]{{1,2}}(?![\w.]))(?![\w@])"),
+    re.compile(rf"(?<![\w.@\-/]){_GIV}{_MID}{_B}{_FAM}(?![\w@])"),
+    re.compile(rf"(?<![\w.@\-/]){_INI}{_B}?{_FAM}(?![\w@])"),
+    re.compile(rf"(?<![\w.@\-/])[{_UP}]{{1,3}}{_B}{_FAM}(?![\w@])"),
+    re.compile(rf"(?<![\w.@\-/]){_FAM}{_B}(?:{_GIV}|{_INI}|[{_UP}]{{1,2}})(?![\w@])"),
+)
+_LOOSE = tuple(re.compile(p.pattern.replace(_FAM, rf"{_PART}[\w’'\-]{{4,}}"), re.I) for p in NAMES[:2])
+_GIVEN_LOW = "|".join(sorted({"agnès", "björn", "chloé", "éva", "håkon", "joaquín", "jürgen", "lucía", "renée", "søren", *SHORT_FORMS}, key=len, reverse=True))
+_LOWER = re.compile(
+    rf"(?<![\w.@\-/])(?:{_GIVEN_LOW})(?:-[^\W\d_]+)?(?:{_B}[a-z]\.?(?![\w/]))*{_B}(?:(?:de la|da|de|van|von|al)[ \-]|o['’])?[^\W\d_A-Z][^\W\d_]{{4,}}(?![\w@])"
+    rf"|(?<=[{{\]\n>] )(?:[a-z]\.(?:[ \-]?[a-z]\.)*){_B}?[^\W\d_A-Z][^\W\d_]{{4,}}(?=\s+(?:\(|and\b|has|told|disagrees|<)|\s*$)"
+    rf"|(?<=author = {{)(?:[a-z]\.(?:[ \-]?[a-z]\.)*){_B}?[^\W\d_A-Z][^\W\d_]{{4,}}(?=\s+and\b|}})"
+    rf"|(?<= and )(?:[^\W\d_A-Z]\.(?:[ \-]?[^\W\d_A-Z]\.)*){_B}?[^\W\d_A-Z][^\W\d_]{{4,}}(?=\s+and\b|}})"
+    rf"|(?<![\w.@\-/])[^\W\d_A-Z][^\W\d_]{{4,}},{_B}(?:(?:{_GIVEN_LOW})(?:{_B}[a-z]\.?(?![\w/]))*|[^\W\d_A-Z]\.(?:[ \-]?[^\W\d_A-Z]\.)*)(?=\s*(?:\(|and\b|}}|<|\n|\r|$))",
+    re.M,
+)
+# fixed values: words of the corpus that follow or precede no personal name
+_NOT_FAMILY = {x.lower() for x in "Box Harbour Mill Old Birch Chapel Foundry Kingfisher Lighthouse Meadow Milford Alder Granary Street Road Row Lane Ave The This That Section Page Shelf Narrows Strait Sound Flats Glacier Pass Trough Bay Fjord Lagoon Isles Basin Bank Hollow Plateau Gyre Rise Harbour Coast Point Notch Bight Beg From Subject Talk Thanks Merci Gracias Tel Phone Part Table Discussion Results Methods Archive Study Comments Contact Author Data Between Version Grant Nothing Fieldwork Samples Volume Reviewer Whoever Doubts Only Both Most Its Their Our What Tag".split()}
+
+
+_PLACE = re.compile(r"(?:at|near|of|in|from|to|bei|près de|cerca de|for)\s+$")
+_STREETISH = re.compile(r"\s+(?:Street|St\.|Road|Rd\.|Row|Lane|Ave|Avenue|Way)\b")
+
+
+def _fits_name(text: str, a: int, b: int, which: int) -> bool:
+    s = text[a:b]
+    words = [w.lower() for w in re.findall(r"[^\W\d_]+", s)]
+    if any(w in _NOT_FAMILY for w in words) or len(words) < 2 or re.search(r"\d", s):
+        return False
+    if re.search(r"\d\s*$", text[max(0, a - 4) : a]) and which == 2 or _STREETISH.match(text, b):
+        return False
+    bare = which == 0 and re.search(rf",{_W}+[{_UP}]{{1,2}}$", s)
+    if which in (3, 4) or bare:  # bare initials or no comma: only in author lists and headers
+        before = text[max(0, a - 160) : a]
+        line = before[before.rfind("\n") + 1 :]
+        listed = re.search(r"(?:author\s*=\s*\{[^}]*|(?:Author|From|To|Cc)\s*:\s*|\[\d+\]\s*|\band\s+|;\s*)$", before) or not line.strip()
+        return bool(listed)
+    return True
+
+
+def spot(text: str, near: list[tuple[int, int]] | None = None) -> list[tuple[int, int, str]]:
+    """Spans (from, to, kind) of the written forms that touch one of the ranges ``near`` (or anywhere)."""
+    found: list[tuple[int, int, str]] = []
+    taken = bytearray(len(text) + 1)
+
+    def put(a: int, b: int, kind: str) -> None:
+        if not any(taken[a:b]):
+            found.append((a, b, kind))
+            taken[a:b] = b"\1" * (b - a)
+
+    ranges = [(0, len(text))] if near is None else near
+    for lo, hi in ranges:
+        for m in EMAIL.finditer(text, lo, hi):
+            put(*m.span(), "email")
+    for lo, hi in ranges:
+        for m in ADDRESS.finditer(text, lo, hi):
+            put(m.start(), _address_end(m), "address")
+        for m in ID.finditer(text, lo, hi):
+            before = text[max(0, m.start() - 40) : m.start()]
+            if m["eight"] and not (_LABEL8.search(before) and not re.search(r"\(\d*$|bytes", before[-2:])):
+                continue
+            if m["eight"] and text[m.end() : m.end() + 6].startswith(" byte"):
+                continue
+            if m["pass"] and not _PASS.search(text[max(0, m.start() - 60) : m.end() + 40]):
+                continue
+            put(*m.span(), "id")
+        for m in PHONE.finditer(text, lo, hi):
+            digits = sum(c.isdigit() for c in m[0])
+            if 8 <= digits <= 14:
+                put(*m.span(), "phone")
+        for k, p in enumerate(NAMES):
+            for m in p.finditer(text, lo, hi):
+                a, b = m.span()
+                if text.startswith("M. ", a) and text.startswith(" a ", b) and re.match(r"[^\W\d_]", text[a + 3 :]):
+                    a += 3  # the French title
+                if _fits_name(text, a, b, k):
+                    put(a, b, "name")
+        for m in _LOWER.finditer(text, lo, hi):
+            if not any(w in _NOT_FAMILY for w in re.findall(r"[^\W\d_]+", m[0])):
+                put(*m.span(), "name")
+        for m in re.finditer(r"(?mi)^[ \t>]*(?:author|from|to|cc)\s*:\s*([^<\n@]{5,60}?)\s*(?=<|$)|author\s*=\s*\{([^}]*)\}", text[lo:hi]):
+            g = 1 if m[1] else 2
+            at = lo + m.start(g)
+            for piece in re.finditer(r"(?:(?!\s+and\s+).)+", m[g] or "", re.S):
+                for p in _LOOSE:
+                    x = p.fullmatch(piece[0].strip())
+                    if x:
+                        a = at + piece.start() + (len(piece[0]) - len(piece[0].lstrip()))
+                        if _fits_name(text, a, a + len(piece[0].strip()), 0):
+                            put(a, a + len(piece[0].strip()), "name")
+    return sorted(found)
+
+
+_KNOWN_TOWN = re.compile(rf"(?:{_TOWNS})".replace(" ", r"\s+"))
+
+
+def _address_end(m: re.Match) -> int:
+    """End of an address: a known town is not stretched over the next sentence's first word."""
+    s = m[0]
+    last = None
+    for t in _KNOWN_TOWN.finditer(s):
+        last = t
+    if last and re.fullmatch(rf"\s+{_CAP}", s[last.end() :]):
+        return m.start() + last.end()
+    return m.end()

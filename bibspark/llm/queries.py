@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import packed as P
 from ..tables import field, read, written
-from . import byte_bpe, canonical_text, form_copies, leaked_passages, name_variants, scan_repair, survivors
+from . import byte_bpe, canonical_text, form_copies, leaked_passages, name_variants, pii, scan_repair, survivors
 
 SQL: dict[str, str] = {}
 
@@ -98,4 +98,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name_variants.link_mentions(names, "name", ["rec_id", "pos"], registry)
 
 
-QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each different personal detail of each document, as written."""
+    return pii.details(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p10_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with typed placeholders in place of personal details."""
+    return pii.masked(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p2_found": p2_found, "p2_canonical": p2_canonical, "p3_found": p3_found, "p3_merged": p3_merged, "p4_found": p4_found, "p4_counts": p4_counts, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_spans": p9_spans, "p10_found": p10_found, "p10_masked": p10_masked}
