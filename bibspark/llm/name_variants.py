@@ -1,8 +1,8 @@
 """Variant spellings of names of people and organisations, linked to the entries of a registry.
 
 1. Every mention is folded (one form of characters, LaTeX accents decoded, letter case and accents dropped).
-2. Character n-grams of its words are weighted by term and inverse document frequency; document frequencies are
-   counted over all mentions, in a hashed space of ``SPACE`` buckets, so what reaches the driver is bounded.
+2. Character n-grams of its words are weighted by term and inverse document frequency; the documents are the words of
+   all mentions, counted in a hashed space of ``SPACE`` buckets, so what reaches the driver is bounded.
 3. Each registry entry is a cluster of its spellings (full, initials, short forms; acronym of an organisation). A
    sparse cosine join gives each mention its ``TOP`` nearest spellings at ``LEAST`` or more; postings are expanded
    for blocks of mentions at once. A mention belongs to the cluster with the highest average linkage (mean cosine
@@ -98,15 +98,26 @@ def buckets(name: str, wide: bool = True) -> set[int]:
 
 
 def document_frequencies(names: DataFrame, column: str) -> tuple[np.ndarray, int]:
-    """Mentions that hold an n-gram, by bucket, over all mentions; at most ``SPACE`` numbers reach the driver."""
+    """Words of all mentions that hold an n-gram, by bucket; at most ``SPACE`` numbers reach the driver."""
 
     def count(batches):
         df, n = np.zeros(SPACE, np.int64), 0
+        words: Counter = Counter()
+
+        def add():
+            for w, k in words.items():
+                df[list(_word_buckets(w)[1])] += k
+            words.clear()
+
         for b in batches:
-            for name, k in Counter(b.column(0).to_pylist()).items():
+            for name in b.column(0).to_pylist():
                 if name:
-                    df[list(buckets(name))] += k
-                    n += k
+                    words.update(_TOKEN.findall(name))
+            n += sum(words.values()) if len(words) > REMEMBERED else 0
+            if len(words) > REMEMBERED:
+                add()
+        n += sum(words.values())
+        add()
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(df[at], n), pa.int64())], names=["bucket", "n"])
 
