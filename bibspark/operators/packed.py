@@ -37,6 +37,7 @@ DICT_CHARS = 40
 HEAVY = 20_000
 CHAR_BITS = 5.0
 SHAPE_BITS = 4.0
+INSIDE_BITS = 8.0
 FLUSH = 100_000
 
 #: kinds of delimiter that each field may use; the order is the order of symbols in shapes
@@ -228,6 +229,12 @@ class Codes:
         return self.__dict__ | {"chosen": {}}
 
     def form(self, f: str, s: str) -> float:
+        """Bits of an item's shape; a delimiter left inside an item is spelled out, but for the comma of names and paths."""
+        if f != "keywords" and (n := sum(map(s.count, "A;|&\n"))):
+            return self._form(f, s) + INSIDE_BITS * n
+        return self._form(f, s)
+
+    def _form(self, f: str, s: str) -> float:
         bits = self.bits.get((f, "~" + s))
         return self.escape.get((f, "~"), 8.0) + SHAPE_BITS * len(s) if bits is None else bits
 

@@ -165,7 +165,7 @@ def write_bibtex(df: DataFrame, path: str) -> None:
 def scan_directory(spark: SparkSession, path: str) -> DataFrame:
     """(path, folder, name, length, kind): PDF and BibTeX files below a folder; hidden and "_" folders are skipped.
 
-    ``bundle`` marks the files of a folder that has a hidden library of its own name.
+    ``bundle`` marks the files of a folder that has a hidden library of its own name (on local or mounted file systems).
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     parts = F.split("path", "/")
@@ -174,8 +174,18 @@ def scan_directory(spark: SparkSession, path: str) -> DataFrame:
     inside = F.regexp_replace(F.col("folder"), "^.*?" + re.escape(root), "")
     f = f.where(~inside.rlike(r"/[._]"))
     kind = F.when(F.lower("name").endswith(".pdf"), "pdf").when(F.lower("name").endswith(".bib"), "bib").otherwise("other")
-    own = F.concat(F.lit("."), F.element_at(F.split("folder", "/"), -1), F.lit(".bib"))
-    bundles = f.where(F.col("name") == own).select("folder", F.lit(True).alias("bundle"))
+
+    def hidden(batches):  # Spark's listing leaves hidden files out; the folders' own libraries are looked for one by one
+        import os
+
+        import pyarrow as pa
+
+        for b in batches:
+            at = b.column(0).to_pylist()
+            yes = [x for x in at if os.path.exists(os.path.join(p := x.removeprefix("file:"), f".{os.path.basename(p)}.bib"))]
+            yield pa.RecordBatch.from_arrays([pa.array(yes, pa.string()), pa.array([True] * len(yes), pa.bool_())], names=["folder", "bundle"])
+
+    bundles = f.select("folder").distinct().mapInArrow(hidden, "folder string, bundle boolean")
     return f.withColumn("kind", kind).join(bundles, "folder", "left").withColumn("bundle", F.coalesce("bundle", F.lit(False)))
 
 
