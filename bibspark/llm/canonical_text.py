@@ -82,7 +82,7 @@ UNSTABLE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _SPANS) + "
 _JAVA = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _SPANS) + "]"
 _MIXED = r"(?s)^(?=.*[\p{IsGreek}\p{IsCyrillic}])(?=.*[\p{IsLatin}\x{ff21}-\x{ff5a}])"
 _SEGMENT = re.compile(r"[^\x00-\x20!-/:-@\[-`{-\x7f]+")
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"[^\W_][^\W_\u0300-\u036f]*(?:[\u0300-\u036f]+[^\W_\u0300-\u036f]*)*")
 _OTHER = re.compile("[\u0370-\u03ff\u0400-\u052f]")
 
 
@@ -107,8 +107,8 @@ def _as(word: str, table: dict[str, str]) -> str:
     out = []
     for c in word:
         d = unicodedata.normalize("NFD", c)
-        out.append(unicodedata.normalize("NFC", table[d[0]] + d[1:]) if d[0] in table else c)
-    return "".join(out)
+        out.append(table[d[0]] + d[1:] if d[0] in table else c)
+    return unicodedata.normalize("NFC", "".join(out))
 
 
 def _one_script(text: str) -> str:

@@ -30,7 +30,8 @@ FLUSH = 100_000
 
 def canonical_letters(c: Column) -> Column:
     """Letters and digits only, case folded."""
-    return F.regexp_replace(F.lower(F.upper(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{N}]+", "")
+    folded = F.replace(F.lower(F.upper(F.coalesce(c, F.lit("")))), F.lit("ß"), F.lit("ss"))
+    return F.regexp_replace(folded, r"[^\p{L}\p{N}]+", "")
 
 
 def bare_doi(c: Column) -> Column:

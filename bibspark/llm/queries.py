@@ -9,7 +9,19 @@ from ..operators import packed as P
 from ..tables import field, read, written
 from . import byte_bpe, canonical_text, form_copies, leaked_passages, name_variants, pii, scan_repair, survivors
 
-SQL: dict[str, str] = {}
+
+
+def _letters(x: str) -> str:
+    return rf"regexp_replace(replace(lower(upper({x})), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+
+
+_DOI = r"regexp_replace(coalesce(field_map['doi'], ''), '(?i)^\s*(?:doi\s*[:=]?\s*)?(?:(?:https?:)?//)?(?:[a-z0-9\-]+(?:\.[a-z0-9\-]+)*\.[a-z\-]+/+|[a-z0-9\-]+\.[a-z\-]+$)?\s*(?:doi\s*[:=]?\s*)?', '')"
+_KEYED = f"""with k as (select rec_id, {_letters("coalesce(field_map['title'], '')")} || chr(31) || {_letters(_DOI)} || chr(31) || {_letters("coalesce(field_map['author'], '')")} as k from bib_entry),
+g as (select rec_id, min(rec_id) over (partition by k) as first_rec_id from k)"""
+SQL: dict[str, str] = {
+    "p4_found": _KEYED + " select first_rec_id, rec_id from g where rec_id <> first_rec_id",
+    "p4_counts": _KEYED + " select first_rec_id, count(*) as n_copies from g group by 1",
+}
 
 
 def _value(name: str) -> F.Column:

@@ -1,0 +1,200 @@
+import base64
+import os
+import unicodedata
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from bibspark.llm import byte_bpe, canonical_text, leaked_passages, pii, pii_rules, scan_repair
+from bibspark.llm.bilstm_crf import Tagger
+
+# --- canonical text -----------------------------------------------------------------------------------------------
+CASES = [
+    ("plain", "plain"), ("café", "café"), ("Ａｂ１", "Ab1"), ("a b c", "a b c"), ("ze​ro­", "zero"), ("ice‑covered", "ice-covered"),
+    ("hеаt", "heat"), ("Тhe end", "The end"), ("fiﬁ", "fifi"), ("δ18O", "δ18O"), ("N₂O – “x”", "N₂O – “x”"), ("Север", "Север"),
+    ("плaнктон", "планктон"), ("й", "й"), ("a\tb\n", "a\tb\n"), ("{\\\"o}", "{\\\"o}"), ("", ""), ("潮汐", "潮汐"),
+]
+
+
+@pytest.mark.parametrize("text, want", CASES)
+def test_canonical(text, want):
+    assert canonical_text.canonical(text) == want
+
+
+@given(st.text(alphabet="abeоа́̈é  ​ａ‑xZ1", max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_canonical_properties(s):
+    once = canonical_text.canonical(s)
+    assert canonical_text.canonical(once) == once and unicodedata.is_normalized("NFC", once)
+
+
+def test_quick_check_loses_nothing(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(CASES)] + [(99, None)]
+    d = spark.createDataFrame(rows, "i long, t string").withColumn("field_name", F.lit("clash"))
+    got = {r["i"] for r in canonical_text.changed_values(d, "i", {"t": F.col("t")}).collect()}
+    assert got == {i for i, (t, w) in enumerate(CASES) if t != w}
+    full = {r["i"]: r["t"] for r in canonical_text.canonical_table(d, ["t"]).collect()}
+    assert full == {i: w for i, (_, w) in enumerate(CASES)} | {99: None}
+
+
+# --- tokenizer ----------------------------------------------------------------------------------------------------
+PATH = f"{byte_bpe.VOCABULARIES}/byte_bpe_50k.tiktoken"
+
+
+@pytest.fixture(scope="module")
+def reference():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    return tiktoken.Encoding("own", pat_str=byte_bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+TEXTS = ["", "Hello world's  end\n\n", "<|endoftext|>", "été 漢字 ​\t\r\n", "x" * 5000, "ab" * 3000, "á" * 50, " " * 300, "１２３ ½ 😀😀"]
+
+
+@given(st.text(max_size=60))
+@settings(max_examples=150, deadline=None)
+def test_encode_any(reference, s):
+    s = s.encode("utf-8", "ignore").decode()
+    assert byte_bpe.Encoder(PATH).encode(s) == reference.encode_ordinary(s) if len(s) < 3 else ENC.encode(s) == reference.encode_ordinary(s)
+
+
+ENC = byte_bpe.Encoder(PATH) if os.path.exists(PATH) else None
+
+
+def test_encode_column(spark, reference):
+    d = spark.createDataFrame([(i, t, [1]) for i, t in enumerate([*TEXTS, None])], "doc_id long, text string, ids array<long>")
+    got = {r["doc_id"]: r["ids"] for r in byte_bpe.encode_column(d, "doc_id", "text").collect()}
+    assert got == {i: reference.encode_ordinary(t) for i, t in enumerate(TEXTS)} | {len(TEXTS): []}
+    assert byte_bpe.encode_column(d.limit(0), "doc_id", "text").count() == 0
+
+
+# --- leaked passages ----------------------------------------------------------------------------------------------
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=120))
+@settings(max_examples=60, deadline=None)
+def test_fm_index(seq):
+    s = np.array(seq, np.int64)
+    x = leaked_passages.FMIndex(s, 4)
+    phrases = np.array([[a, b] for a in range(1, 5) for b in range(1, 5)])
+    lo, hi = x.search(phrases)
+    for p, a, b in zip(phrases.tolist(), lo, hi):
+        want = sorted(i for i in range(len(seq) - 1) if seq[i : i + 2] == p)
+        assert sorted(x.locate(np.arange(a, b)).tolist()) == want
+
+
+WORDS = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango uniform victor whiskey xray yankee zulu".split()
+
+
+def test_leaks(spark):
+    passage = " ".join(WORDS)
+    item = f"Read this.\n{passage.title()}.\nWhat is it?"
+    edited = WORDS[:6] + ["changed"] + WORDS[7:15] + WORDS[16:24]
+    docs = [
+        (1, "Intro text. " + ", ".join(WORDS[2:14]).upper() + "! The end."), (2, "noise " + " ".join(WORDS[:11]) + " noise"), (3, "x " + " ".join(edited) + " y"), (4, "Read this. What is it?"),
+        (5, None), (6, ""), (7, "nothing here at all"), (8, "Intro text. " + ", ".join(WORDS[2:14]).upper() + "! The end."), (9, "“" + "\n".join(WORDS[5:25]) + "”"),
+    ]
+    d = spark.createDataFrame([(i, t, 7) for i, t in docs], "doc_id long, text string, item_id long")
+    items = spark.createDataFrame([(10, item), (11, item), (12, None), (13, "")], "item_id long, text string")
+    got = leaked_passages.leaked_spans(d.drop("item_id"), "doc_id", "text", items, "item_id", "text").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d_, i) for d_ in (1, 3, 8, 9) for i in (10, 11)}
+    texts = dict(docs)
+    for r in got:
+        if r["doc_id"] == 1:
+            assert texts[1][r["start"] : r["stop"]] == ", ".join(WORDS[2:14]).upper()
+    assert leaked_passages.leaked_spans(d.drop("item_id").limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
+    assert leaked_passages.leaked_spans(d.drop("item_id"), "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
+
+
+# --- scanned pages ------------------------------------------------------------------------------------------------
+SENT = "the quick harbour keeps a number of older records for the summer survey and the winter index"
+
+
+def scan_pages():
+    pages = []
+    for f in range(1, 31):
+        for no in range(10, 14):
+            head = "WATER LEDGER" if no % 2 else "Smith et al.: On records"
+            body = [SENT[:46], SENT[46:]] * 4 + ["they keep a num-", "ber of records and a long-", "term index of the summer"] + ["with a long-term view of " + SENT[:25]]
+            pages.append((f * 100 + no, f, no, "\n".join([head, "", *body, "", f"- {no} -"])))
+    bad = pages[5][3].replace("quick", "qu1ck", 1)
+    pages[5] = (*pages[5][:3], bad)
+    pages.append((9001, pages[5][1], pages[5][2], bad))  # scanned twice
+    pages += [(9002, 50, 1, None), (9003, 50, 2, ""), (9004, 51, 1, "x")]
+    return pages, pages[5][0]
+
+
+def test_scans(spark):
+    pages, at = scan_pages()
+    d = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, file_id long, page_no int, txt string, noise_kind string")
+    got = {tuple(r) for r in scan_repair.noise_lines(d).collect()}
+    one = {(n, k) for p, n, k in got if p == 110}
+    assert one == {(1, "running"), (11, "hyphen"), (16, "pagenum")}
+    assert {(n, k) for p, n, k in got if p == at} == {(1, "running"), (3, "misread"), (11, "hyphen"), (16, "pagenum")}
+    assert {(n, k) for p, n, k in got if p == 9001} == {(n, k) for p, n, k in got if p == at}
+    assert not [g for g in got if g[0] in (9002, 9003)]
+    text = {(r["page_id"], r["par_no"]): r["text"] for r in scan_repair.repaired_paragraphs(d).collect()}
+    assert any("a number of records and a long-term index" in t for t in text.values()) and not any("LEDGER" in t for t in text.values())
+    assert scan_repair.noise_lines(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("line, page, yes", [("12", 12, True), ("- 12 -", 12, True), ("[l2]", 12, True), ("Page 12", 12, True), ("xii", 12, True), ("xi1", 12, True), ("12 13", 12, False), ("summer", 12, False), ("1l7", 117, True)])
+def test_page_number(line, page, yes):
+    assert scan_repair.is_page_number(line, page) == yes
+
+
+# --- personal details ---------------------------------------------------------------------------------------------
+TEXT = "From: Dmitri Némanault <d.nemanault@library.example>\nCall +44 20 7946 0508 before noon. Her social security number, 946-73-1594, is on page one.\nThe author now lives at 150 Alder Road, Villa Serrana. ISSN 9195-9829 and report no. 4089-13 refer to the same survey.\nComments go to <tamutfeld [at] polarshared [dot] test>, not to the list."
+WANT = {("name", "Dmitri Némanault"), ("email", "d.nemanault@library.example"), ("phone", "+44 20 7946 0508"), ("id", "946-73-1594"), ("address", "150 Alder Road, Villa Serrana"), ("email", "tamutfeld [at] polarshared [dot] test")}
+
+
+def test_details(spark):
+    long = "The margins mention kelp. " * 3000 + TEXT
+    d = spark.createDataFrame([(1, TEXT, "c"), (2, None, "c"), (3, "", "c"), (4, "   ", "c"), (5, "The margins of the printed copy mention kelp.", "c"), (6, TEXT + "\n" + TEXT, "c"), (7, long, "c")], "doc_id long, text string, pii_kind string")
+    got: dict[int, set] = {}
+    for r in pii.details(d, "doc_id", "text").collect():
+        assert (r["pii_kind"], r["pii_text"]) not in got.setdefault(r["doc_id"], set())
+        got[r["doc_id"]].add((r["pii_kind"], r["pii_text"]))
+    assert got == {1: WANT, 6: WANT, 7: WANT}
+    masked = {r["doc_id"]: r["text"] for r in pii.masked(d, "doc_id", "text").collect()}
+    assert masked[2] is None and masked[3] == "" and masked[4] == "   " and masked[5].endswith("kelp.")
+    assert masked[1].startswith("From: [NAME] <[EMAIL]>\nCall [PHONE] before noon.") and "[ADDRESS]. ISSN 9195-9829" in masked[1]
+
+
+def test_tagger_recall_on_held_out_rows(sf):
+    """Documents of the small tables, which training did not draw from: marked characters touch nearly all details."""
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column("text").to_pylist() if t]
+    tags = pii.finder().tags(texts)
+    hit = [bool((g[a:b] > 0).any()) for t, g in zip(texts, tags) for a, b, _ in pii_rules.spot(t)]
+    assert len(hit) > 30 and np.mean(hit) > 0.98
+
+
+def test_gradient():
+    r = np.random.default_rng(0)
+    t = Tagger(7, 3, hidden=4, seed=3)
+    X, Y = r.integers(0, 7, (2, 6)), r.integers(0, 3, (2, 6))
+    loss, grad = t.step(X, Y)
+    for k in t.p:
+        i = tuple(r.integers(0, n) for n in t.p[k].shape)
+        old = t.p[k][i]
+        t.p[k][i] = old + 1e-2
+        up = t.step(X, Y)[0]
+        t.p[k][i] = old - 1e-2
+        down = t.step(X, Y)[0]
+        t.p[k][i] = old
+        assert abs((up - down) / 2e-2 - grad[k][i]) < 2e-3
+
+
+def test_viterbi():
+    from itertools import product
+
+    t = Tagger(5, 3, hidden=3, seed=2)
+    t.p["t"] = np.random.default_rng(1).standard_normal((3, 3)).astype(np.float32)
+    X = np.array([[0, 1, 2, 3, 4]])
+    e = t.scores(X)[:, 0]
+    best = max(product(range(3), repeat=5), key=lambda y: sum(e[i, k] for i, k in enumerate(y)) + sum(t.p["t"][a, b] for a, b in zip(y, y[1:])))
+    assert t.decode(X)[0].tolist() == list(best)
