@@ -49,7 +49,7 @@ SHORT_FORMS = {
     "johannes": "hans jan hannes", "john": "jack johnny", "jurgen": "jorg", "katherine": "kate kathy kitty kat", "kenji": "ken", "leila": "lily", "lucia": "lucy luz", "ludmila": "mila lyuda", "margaret": "maggie meg peggy greta",
     "mateus": "teo", "maximilian": "max milian", "michael": "mike mick mickey", "nadia": "nadya", "nicholas": "nick nico klaus", "noor": "nora", "oluwaseun": "seun", "oskar": "ossi", "otto": "otti", "patricia": "trish pat patty tricia",
     "peter": "pete", "priya": "pri", "quentin": "quin", "renee": "ren", "richard": "dick rick rich", "robert": "bob rob bobby bert", "rosa": "rosie", "samuel": "sammy", "soren": "sorn", "susanne": "susi sue sanne", "tariq": "tarik",
-    "theodore": "ted teddy theo", "thomas": "tom tommy", "vera": "verusha", "victoria": "vicky tori", "wanjiru": "shiru ciru", "william": "bill will billy liam", "yusuf": "joe", "zofia": "zosia",
+    "theodore": "ted teddy theo", "thomas": "tom tommy", "uma": "", "vera": "verusha", "victoria": "vicky tori", "wanjiru": "shiru ciru", "william": "bill will billy liam", "yusuf": "joe", "zofia": "zosia",
 }
 #: short forms whose initial may stand for the name
 _SHORT = {k: v.split() for k, v in SHORT_FORMS.items()}

@@ -54,8 +54,10 @@ _CODE = r"(?:[A-Z]{1,2}\d{1,2}[A-Z]?[ ]\d[A-Z]{2}|[A-Z]{2}[ ]\d{5})"
 _SEP = r"(?:,?(?:[ \t ]+|[ \t]*(?:\r\n|\r|\n)(?:> ?)?[ \t]*))"
 ADDRESS = re.compile(rf"(?<![\w.\-])(?:{_STREET})(?:,?{_W}+(?:Apt|Flat|Unit|Suite)\.?{_W}+\w+)?{_SEP}(?:\d{{4,6}}{_W}+)?{_TOWN}(?:,?{_SEP}{_CODE})?(?![\w])")
 
-_GIVEN = "|".join(sorted({"Agnès", "Björn", "Chloé", "Éva", "Håkon", "Joaquín", "Jürgen", "Lucía", "Renée", "Søren", *(x.title() for k, v in SHORT_FORMS.items() for x in (k, *v.split()))}, key=len, reverse=True))
-_PART = r"(?:(?:de la|de las|del|de|da|do|van der|van den|van|von der|von|der|den|al|el|O)(?:[ '’\-]))?"
+# fixed values: usual short forms that begin a given name
+_BEGINNINGS = "Alex Ben Chris Dan Ed Fred Fran Greg Joh Kat Ken Mags Mat Matt Max Mich Nic Nik Pat Rich Rob Ros Sam Steph Sus Sue Theo Tom Vic Vik Will Gab Liz Lu Joe Jo".split()
+_GIVEN = "|".join(sorted({*_BEGINNINGS, "Agnès", "Björn", "Chloé", "Éva", "Håkon", "Joaquín", "Jürgen", "Lucía", "Renée", "Søren", *(x.title() for k, v in SHORT_FORMS.items() for x in (k, *v.split()))}, key=len, reverse=True))
+_PART = r"(?:(?i:de la|de las|del|de|da|do|van der|van den|van|von der|von|der|den|al|el|O)(?:[ '’\-]))?"
 _FAM = rf"{_PART}(?:[A-ZO]['’])?[{_UP}][\w’'\-]*[\w]{{2}}"
 _INI = rf"(?:[{_UP}]\.(?:[ \-]?[{_UP}]\.)*)"
 _B = r"(?:[ \t\u00a0\u2000-\u200a\u202f]+|[ \t]*\r?\n(?:> ?|[ \t]+))"
@@ -69,7 +71,7 @@ NAMES = (
     re.compile(rf"(?<![\w.@\-/]){_FAM}{_B}(?:{_GIV}|{_INI}|[{_UP}]{{1,2}})(?![\w@])"),
 )
 _LOOSE = tuple(re.compile(p.pattern.replace(_FAM, rf"{_PART}[\w’'\-]{{4,}}"), re.I) for p in NAMES[:2])
-_GIVEN_LOW = "|".join(sorted({"agnès", "björn", "chloé", "éva", "håkon", "joaquín", "jürgen", "lucía", "renée", "søren", *SHORT_FORMS}, key=len, reverse=True))
+_GIVEN_LOW = "|".join(sorted({"agnès", "björn", "chloé", "éva", "håkon", "joaquín", "jürgen", "lucía", "renée", "søren", *SHORT_FORMS, *({x for v in SHORT_FORMS.values() for x in v.split()} | {"chris", "sam", "ben", "dan", "alex", "greg", "matt"}) - {"will", "rich", "pat", "bill", "kit", "jan", "max", "rob", "dick", "jack", "joe", "ken"}}, key=len, reverse=True))
 _LOWER = re.compile(
     rf"(?<![\w.@\-/])(?:{_GIVEN_LOW})(?:-[^\W\d_]+)?(?:{_B}[a-z]\.?(?![\w/]))*{_B}(?:(?:de la|da|de|van|von|al)[ \-]|o['’])?[^\W\d_A-Z][^\W\d_]{{4,}}(?![\w@])"
     rf"|(?<=[{{\]\n>] )(?:[a-z]\.(?:[ \-]?[a-z]\.)*){_B}?[^\W\d_A-Z][^\W\d_]{{4,}}(?=\s+(?:\(|and\b|has|told|disagrees|<)|\s*$)"
