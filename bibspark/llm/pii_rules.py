@@ -123,7 +123,7 @@ def spot(text: str, near: list[tuple[int, int]] | None = None) -> list[tuple[int
             put(m.start(), _address_end(m), "address")
         for m in ID.finditer(text, lo, hi):
             before = text[max(0, m.start() - 40) : m.start()]
-            if m["eight"] and not (_LABEL8.search(before) and not re.search(r"\(\d*$|bytes", before[-2:])):
+            if m["eight"] and not _LABEL8.search(before):
                 continue
             if m["eight"] and text[m.end() : m.end() + 6].startswith(" byte"):
                 continue

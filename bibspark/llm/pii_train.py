@@ -15,7 +15,7 @@ from . import pii, pii_rules
 from .bilstm_crf import Alphabet, Tagger
 
 SAMPLE_DOCS = 10_000
-STEPS = 800
+STEPS = 1300
 BATCH = 160
 
 
