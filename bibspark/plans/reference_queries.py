@@ -583,3 +583,88 @@ select lower(doi) as doi_id, max((fetched_ts, message_id))[2] as message_id, sub
 def cache_lookup(spark, d):
     """Fetch cache: the newest message of each DOI, with its short hashed key."""
     return C.latest(read(spark, d, "crossref_message")).select("doi_id", "message_id", F.substring(F.sha2("doi_id", 256), 1, 6).alias("cache_key"))
+
+
+# --- upkeep ---------------------------------------------------------------------------------------------------
+@query("select lib, lower(cite_key) as key, max(rec_id) as rec_id from bib_entry where cite_key is not null group by 1, 2")
+def key_lookup(spark, d):
+    from ..operators import maintenance as U
+
+    return U.lookup(bib(spark, d))
+
+
+@query("select rec_id, row_number() over (partition by lib order by coalesce(cite_key, ''), rec_id) as place from bib_entry where lib <> 'polarshared'")
+def library_order(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("lib").orderBy(F.coalesce("cite_key", F.lit("")), "rec_id")
+    return bib(spark, d).where("lib <> 'polarshared'").select("rec_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query()
+def fix_entries(spark, d):
+    """Names, DOI and key of every entry repaired in order (no SQL: ordered DOI preferences and slugs)."""
+    from ..operators import maintenance as U
+
+    return U.fix_entries(bib(spark, d))
+
+
+@query()
+def doi_mismatch(spark, d):
+    """Documents whose text names another DOI than their record (no SQL: ordered DOI preferences)."""
+    t = read(spark, d, "documents").where("rec_id is not null").select("doc_id", "rec_id", B.parse_doi(F.col("text")).alias("found")).where("found is not null")
+    b = bib(spark, d).select("rec_id", F.lower(B.field("doi")).alias("known")).where("known <> ''")
+    return t.join(b, "rec_id").where("lower(found) <> known").select("doc_id", "rec_id", "found", "known")
+
+
+@query()
+def normal_paths(spark, d):
+    """Attachments as absolute, resolved paths under their library's root (no SQL: fold over path parts)."""
+    from ..operators import maintenance as U
+
+    paths = U.rebase(B.attachments(B.field("file")), F.concat(F.lit("/srv/"), "lib"))
+    return bib(spark, d).where(B.field("file") != "").select("rec_id", F.array_join(paths, "|").alias("paths"))
+
+
+_J = f"""with b as (select rec_id, field_map['journal'] as old from bib_entry where {hasf('journal')}), a as (select rec_id, upper(field_map['journal']) as new from bib_entry where {hasf('journal')} and lib = 'polarshared')"""
+
+
+@query(_J + " select rec_id, 'journal' as field, old, new from a join b using (rec_id) where old <> new")
+def field_changes(spark, d):
+    b = bib(spark, d).where("lib = 'polarshared'")
+    a = b.withColumn("field_map", F.transform_values("field_map", lambda k, v: F.when(k == "journal", F.upper(v)).otherwise(v)))
+    return M.field_diff(b, a, "rec_id").select("rec_id", "field", "old", "new")
+
+
+@query(f"""with k as (select lower({fv('doi')}) as k, rec_id as v from bib_entry where {fv('doi')} <> ''), m as (select k, 'r' || max(v) as v from k group by k),
+x as (select lower(doi) as k, 'm' || max(message_id) as v from crossref_message where coalesce(doi, '') <> '' group by 1) select k, coalesce(m.v, x.v) as v from m full join x using (k)""")
+def cache_merge(spark, d):
+    from ..operators import maintenance as U
+
+    m = bib(spark, d).select(F.lower(B.field("doi")).alias("k"), "rec_id").where("k <> ''").groupBy("k").agg(F.concat(F.lit("r"), F.max("rec_id").cast("string")).alias("v"))
+    x = read(spark, d, "crossref_message").where("doi is not null and doi <> ''").groupBy(F.lower("doi").alias("k")).agg(F.concat(F.lit("m"), F.max("message_id").cast("string")).alias("v"))
+    return U.merge_cache(m, x, "k", "v")
+
+
+@query()
+def group_fates(spark, d):
+    """Fate of each confirmed duplicate under a decision by group number: merge, best, delete or none."""
+    from ..operators import maintenance as U
+
+    g = _members(spark, d)
+    actions = F.element_at(F.array(F.lit("merge"), F.lit("best"), F.lit("delete")), (F.col("group_no") % 3 + 1).cast("int"))
+    return U.decide(g, g.select("group_no").distinct().select("group_no", actions.alias("action")), "group_no")
+
+
+@query()
+def library_fingerprints(spark, d):
+    """Order-free content hash of every library (no SQL: Spark's hash)."""
+    from ..operators import maintenance as U
+
+    return U.fingerprint(bib(spark, d))
+
+
+@query("select type_in, case type_in when 'journal-article' then 'article' when 'book' then 'book' when 'book-chapter' then 'incollection' when 'proceedings-article' then 'inproceedings' when 'conference-paper' then 'inproceedings' when 'report' then 'techreport' when 'thesis' then 'phdthesis' else 'misc' end as type_out, count(*) as n from (select coalesce(json_extract_string(message_json::json, '$.type'), '') as type_in from crossref_message where message_json is not null and json_valid(message_json)) group by 1")
+def crossref_types(spark, d):
+    p = C.parsed(read(spark, d, "crossref_message"))
+    return p.groupBy(F.coalesce("m.type", F.lit("")).alias("type_in")).agg(F.count("*").alias("n")).select("type_in", C.bib_type(F.col("type_in")).alias("type_out"), "n")
