@@ -140,6 +140,17 @@ def test_scans(spark):
     assert scan_repair.noise_lines(d.limit(0)).count() == 0
 
 
+def test_crowded_place(spark):
+    """Pages without a scan, and one place scanned over and over: salted, each page as if alone with its context."""
+    body = "\n".join([SENT[:46], SENT[46:]] * 3)
+    rows = [(i, None, 5, f"WATER LEDGER\n{body}\nnumber {i} of the {'ab' * (i % 7)} records and the sum\n\n- 5 -") for i in range(1500)] + [(2000, None, 6, f"WATER LEDGER\n{body}\n\n6"), (2001, 7, None, "x")]
+    d = spark.createDataFrame(rows, "page_id long, file_id long, page_no int, txt string")
+    blocks = scan_repair.scan_blocks(d, "page_id", "file_id", "page_no", "txt")
+    assert blocks.groupBy("scan", "block", "salt").count().agg(F.max("count")).collect()[0][0] < 700
+    got = scan_repair.noise_lines(d).where("noise_kind in ('running', 'pagenum')").groupBy("page_id").count().collect()
+    assert len(got) == 1501 and {r["count"] for r in got} == {2}
+
+
 @pytest.mark.parametrize("line, page, yes", [("12", 12, True), ("- 12 -", 12, True), ("[l2]", 12, True), ("Page 12", 12, True), ("xii", 12, True), ("xi1", 12, True), ("12 13", 12, False), ("summer", 12, False), ("1l7", 117, True)])
 def test_page_number(line, page, yes):
     assert scan_repair.is_page_number(line, page) == yes
