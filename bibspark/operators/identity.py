@@ -7,11 +7,12 @@ back (adaptive execution splits a hot class on the record side).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bib as B
 from ..tables import cut
+from .ordered import earlier_min, placed, runs
 
 # fixed values: levels of similarity
 LEVELS = {"EXACT": 104, "GOOD": 103, "FAIR": 102, "PARTIAL": 101}
@@ -67,10 +68,8 @@ def grouped_by(df: DataFrame, key: Column, order: str = "rec_id", valid: Column
 
 def adjacent_runs(df: DataFrame, key: Column, within: str, order: list[str], ident: str = "rec_id") -> DataFrame:
     """(ident, run, n): runs of neighbours of equal key within a library, in its order."""
-    w = Window.partitionBy(within).orderBy(*order)
-    d = df.select(within, ident, *[c for c in order if c != ident], key.alias("_k"))
-    d = d.withColumn("_new", F.coalesce((F.lag("_k").over(w) != F.col("_k")).cast("long"), F.lit(1)))
-    d = d.withColumn("run", F.sum("_new").over(w))
+    d = df.select(within, ident, *[c for c in order if c != ident], F.coalesce(key, F.lit("")).alias("_k"))
+    d = runs(d, [within], order, "_k", "run")
     n = d.groupBy(within, "run").agg(F.count("*").alias("n"))
     return d.join(n, [within, "run"]).select(within, ident, "run", "n")
 
@@ -83,12 +82,13 @@ def greedy_groups(df: DataFrame, order: str = "rec_id") -> DataFrame:
     once those of all earlier records that it shares an identity with are. Rounds are as many as the longest chain.
     """
     d = identities(df).select(F.col(order).alias("o"), F.when(F.col("doi_id") != "", F.col("doi_id")).alias("d"), F.when(F.col("at_id") != "", F.col("at_id")).alias("a"))
-    d = cut(d.withColumn("g", F.col("o")))
+    d = placed(d, ["d"], ["o"]).withColumnRenamed("_p", "_pd")
+    d = placed(d, ["a"], ["o"]).withColumnRenamed("_p", "_pa").withColumn("g", F.col("o"))
     while True:
         for k in ("d", "a"):
-            w = Window.partitionBy(k).orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
-            d = d.withColumn(f"_{k}", F.when(F.col(k).isNotNull(), F.min("g").over(w)))
-        d = cut(d.withColumn("h", F.coalesce(F.least("_d", "_a"), F.col("o"))).select("o", "d", "a", F.col("h").alias("g"), (F.col("h") != F.col("g")).alias("moved")))
+            d = earlier_min(d, k, "o", "g", f"_{k}", f"_p{k}").withColumn(f"_{k}", F.when(F.col(k).isNotNull(), F.col(f"_{k}")))
+        d = d.withColumn("h", F.coalesce(F.least("_d", "_a"), F.col("o")))
+        d = cut(d.select("o", "d", "a", "_pd", "_pa", F.col("h").alias("g"), (F.col("h") != F.col("g")).alias("moved")))
         if not d.where("moved").limit(1).count():
             return d.select(F.col("o").alias(order), F.col("g").alias("group_first"))
         d = d.drop("moved")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bib as B
+from .ordered import rank
 
 KEY = "{authorX}{year}"
 UNKNOWN = "unknown_{doi_or_id}"
@@ -29,5 +30,5 @@ def letter(n: Column) -> Column:
 def cite_keys(df: DataFrame, within: str = "lib", order: str = "rec_id", template: str = KEY) -> DataFrame:
     """(order, base_key, new_key): keys made unique within a library in the order of its records."""
     d = df.select(within, order, F.lower(B.render(template, B.template_fields())).alias("base_key"))
-    n = F.row_number().over(Window.partitionBy(within, "base_key").orderBy(order)) - 1
-    return d.select(order, "base_key", F.concat("base_key", letter(n)).alias("new_key"))
+    d = rank(d, [within, "base_key"], [order], "nth")
+    return d.select(order, "base_key", F.concat("base_key", letter(F.col("nth") - 1)).alias("new_key"))

@@ -593,12 +593,12 @@ def key_lookup(spark, d):
     return U.lookup(bib(spark, d))
 
 
-@query("select rec_id, row_number() over (partition by lib order by coalesce(cite_key, ''), rec_id) as place from bib_entry where lib <> 'polarshared'")
+@query("select rec_id, row_number() over (partition by lib order by coalesce(cite_key, ''), rec_id) as place from bib_entry")
 def library_order(spark, d):
-    from pyspark.sql import Window
+    from ..operators.ordered import rank
 
-    w = Window.partitionBy("lib").orderBy(F.coalesce("cite_key", F.lit("")), "rec_id")
-    return bib(spark, d).where("lib <> 'polarshared'").select("rec_id", F.row_number().over(w).cast("long").alias("place"))
+    b = bib(spark, d).select("lib", F.coalesce("cite_key", F.lit("")).alias("key"), "rec_id")
+    return rank(b, ["lib"], ["key", "rec_id"], "place").select("rec_id", "place")
 
 
 @query()
