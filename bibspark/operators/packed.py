@@ -169,7 +169,7 @@ def shape(field: str, text: str) -> str:
     return text.strip().translate(_SYMBOLS[field])
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=2_000)
 def shape_parses(field: str, whole: str) -> tuple[tuple[str, tuple[str, ...]], ...]:
     """(dialect, item shapes) of every parse of a whole value's shape."""
     present = [k for k in KINDS[field] if k in whole]

@@ -346,11 +346,11 @@ def merge_resolved(spark, d):
 p as (select group_no, path, min((rec_id, pos)) as place0 from l group by 1, 2) select group_no, path, row_number() over (partition by group_no order by place0) as place from p""".replace("unnest(F)", f"unnest({FILES})").replace("subscripts(F,", f"subscripts({FILES},"))
 def merge_files(spark, d):
     """Attachments of a group: each different path once, in order."""
-    from pyspark.sql import Window
+    from ..operators.ordered import rank
 
     l = _members(spark, d).select("group_no", "rec_id", F.posexplode(B.attachments(B.field("file"))).alias("pos", "path"))
-    p = l.groupBy("group_no", "path").agg(F.min(F.struct("rec_id", "pos")).alias("at"))
-    return p.select("group_no", "path", F.row_number().over(Window.partitionBy("group_no").orderBy("at")).cast("long").alias("place"))
+    p = l.groupBy("group_no", "path").agg(F.min(F.struct("rec_id", "pos")).alias("at")).select("group_no", "path", "at.rec_id", "at.pos")
+    return rank(p, ["group_no"], ["rec_id", "pos"], "place").select("group_no", "path", "place")
 
 
 def _halves(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -464,8 +464,10 @@ def pdf_head(spark, d):
     p = read(spark, d, "scanned_page").where("txt is not null").groupBy("file_id", "page_no").agg(F.max("txt").alias("txt"))
     n = F.size(F.filter(F.split("txt", r"\s+"), lambda x: x != ""))
     w = Window.partitionBy("file_id").orderBy("page_no")
-    o = p.select("file_id", "page_no", n.alias("n")).withColumns({"pos": F.row_number().over(w) - 1, "before": F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    return o.where("before < 200 and pos < 10").select("file_id", "page_no")
+    # only ten pages of a file can count; the rank filter is applied before the shuffle
+    o = p.select("file_id", "page_no", n.alias("n")).withColumn("pos", F.row_number().over(w)).where("pos <= 10")
+    o = o.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return o.where("before < 200").select("file_id", "page_no")
 
 
 # --- keys and files -------------------------------------------------------------------------------------------
