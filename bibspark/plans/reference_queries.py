@@ -410,9 +410,9 @@ def biblio_diff(spark, d):
     return M.diff(*_edited(spark, d), key="rec_id")
 
 
-@query(f"""select rec_id, array_to_string(list_concat(k, list_filter(['marked', 'ocean'], lambda x: not list_contains(k, x))), ', ') as keywords from (select rec_id, {KEYWORDS} as k from bib_entry where lib = 'polarshared')""")
+@query(f"""select rec_id, array_to_string(list_concat(k, list_filter(['marked', 'ocean'], lambda x: not list_contains(k, x))), ', ') as keywords from (select rec_id, {KEYWORDS} as k from bib_entry)""")
 def add_keyword(spark, d):
-    b = bib(spark, d).where("lib = 'polarshared'")
+    b = bib(spark, d)
     k = B.keywords(B.field("keywords"))
     return b.select("rec_id", F.array_join(F.concat(k, F.array_except(F.array(F.lit("marked"), F.lit("ocean")), k)), ", ").alias("keywords"))
 
@@ -628,12 +628,12 @@ def normal_paths(spark, d):
     return bib(spark, d).where(B.field("file") != "").select("rec_id", F.array_join(paths, "|").alias("paths"))
 
 
-_J = f"""with b as (select rec_id, field_map['journal'] as old from bib_entry where {hasf('journal')}), a as (select rec_id, upper(field_map['journal']) as new from bib_entry where {hasf('journal')} and lib = 'polarshared')"""
+_J = f"""with b as (select rec_id, field_map['journal'] as old from bib_entry where {hasf('journal')}), a as (select rec_id, upper(field_map['journal']) as new from bib_entry where {hasf('journal')})"""
 
 
 @query(_J + " select rec_id, 'journal' as field, old, new from a join b using (rec_id) where old <> new")
 def field_changes(spark, d):
-    b = bib(spark, d).where("lib = 'polarshared'")
+    b = bib(spark, d)
     a = b.withColumn("field_map", F.transform_values("field_map", lambda k, v: F.when(k == "journal", F.upper(v)).otherwise(v)))
     return M.field_diff(b, a, "rec_id").select("rec_id", "field", "old", "new")
 
