@@ -62,8 +62,6 @@ def separators(field: str, value: str, quoting: bool = True) -> list[tuple[int,
         if c == "\\":
             continue
         if c == '"' and len(t) > 1:
-            if quoting and not value[: m.start()].rstrip()[-1:] not in ("", ";", ",", "|", "/", "\n", "&", "d", "D"):
-                continue
             if not quoting:
                 out += [(m.start() + x.start(), m.start() + x.end(), x[0]) for x in re.finditer(r"[;,|/\n]", t) if x[0] in kinds]
             continue
