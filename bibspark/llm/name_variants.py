@@ -302,7 +302,7 @@ class Registry:
             vector = self._vector(names[i])
             scored = []
             for k in entries:
-                cosines = [sum(w * s[g] for g, w in vector.items() if g in s) for s in self.spelled[k]]
+                cosines = [sum([vector[g] * s[g] for g in vector.keys() & s.keys()]) for s in self.spelled[k]]
                 linkage = sum(cosines) / len(cosines)
                 if max(cosines) >= LEAST and linkage >= LINKAGE:
                     scored.append((max(cosines), linkage, k))
