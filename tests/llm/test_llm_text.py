@@ -174,14 +174,20 @@ def test_details(spark):
     assert masked[1].startswith("From: [NAME] <[EMAIL]>\nCall [PHONE] before noon.") and "[ADDRESS]. ISSN 9195-9829" in masked[1]
 
 
-def test_tagger_recall_on_held_out_rows(sf):
-    """Documents of the small tables, which training did not draw from: marked characters touch nearly all details."""
+def test_tagger_recall_on_held_out_rows():
+    """Other rows than those of sf0.1, which training drew from: marked characters touch nearly all labelled details."""
+    import glob
+
     import pyarrow.parquet as pq
 
-    texts = [t for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column("text").to_pylist() if t]
+    files = sorted(glob.glob("/root/testdata/check_s/documents.parquet/*.parquet"))
+    if not files:
+        pytest.skip("no held-out rows here")
+    seen = set(pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist())
+    texts = [t for t in pq.read_table(files[0], columns=["text"]).column("text").to_pylist() if t and t not in seen]
     tags = pii.finder().tags(texts)
     hit = [bool((g[a:b] > 0).any()) for t, g in zip(texts, tags) for a, b, _ in pii_rules.spot(t)]
-    assert len(hit) > 30 and np.mean(hit) > 0.98
+    assert len(hit) > 300 and np.mean(hit) > 0.995
 
 
 def test_gradient():
