@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bib as B
 
+#: rows of a block
+QUERIES = 1000
+MESSAGES = 10_000
+
 _NAMES = "ARRAY<STRUCT<family: STRING, given: STRING>>"
 _DATE = "STRUCT<`date-parts`: ARRAY<ARRAY<INT>>>"
 SCHEMA = (
@@ -69,16 +74,33 @@ def enrich(bib: DataFrame, messages: DataFrame) -> DataFrame:
     return j.select("rec_id", F.explode(B.update_fields(F.col("new"), F.col("field_map"))).alias("field", "value"))
 
 
-def ranked(queries: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
-    """(key, message_id, score): the first of the most relevant candidates of each query.
+def ranked(queries: DataFrame, messages: DataFrame, key: str) -> DataFrame:
+    """(key, message_id, score): the first of the most relevant of all messages for each query.
 
-    ``candidates`` has (key, message_id, author, title, abstract) found by blocking; the score sums token-set ratios
-    with the query's text over the parts that the candidate has.
+    ``messages`` has (message_id, author, title, abstract); the score sums token-set ratios with the query's text over
+    the parts that the message has. Every block of queries meets every block of messages in one task, which keeps the
+    best message of each query; the best of those is taken.
     """
-    from ..functions.fuzzy import token_set_ratio_udf as ratio
-
-    j = candidates.join(queries.select(key, "text"), key)
-    part = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), ratio(c, "text")), F.lit(0.0))
-    scored = j.withColumn("score", part("author") + part("title") + part("abstract"))
-    w = Window.partitionBy(key).orderBy(F.desc("score"), "message_id")
-    return scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(key, "message_id", "score")
+    from ..functions.fuzzy import best_matches
+    from ..tables import cut, task_count
+
+    parts = ("author", "title", "abstract")
+    q = cut(queries.select(F.col(key).alias("key"), "text"))
+    m = cut(messages.groupBy(*parts).agg(F.min("message_id").alias("message_id")))
+    m_blocks = max(1, -(-m.count() // MESSAGES))
+    q_blocks = max(1, -(-q.count() // QUERIES), -(-2 * task_count(q.sparkSession) // m_blocks))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n, f: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), f)).alias("cell")
+    q = q.withColumn("b", place("key", q_blocks)).select("key", "text", every(m_blocks, lambda x: F.col("b") * m_blocks + x))
+    m = m.withColumn("b", place("message_id", m_blocks)).select("message_id", *parts, every(q_blocks, lambda x: x * m_blocks + F.col("b")))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("message_id")
+        ids = right["message_id"].to_numpy()
+        found = list(best_matches(left["text"].tolist(), [right[c].tolist() for c in parts])) if len(left) and len(ids) else []
+        return pd.DataFrame({"key": left["key"] if found else [], "message_id": [int(ids[i]) for i, _ in found], "score": [s for _, s in found]})
+
+    schema = f"key {queries.schema[key].dataType.simpleString()}, message_id bigint, score double"
+    found = q.groupBy("cell").cogroup(m.groupBy("cell")).applyInPandas(best, schema)
+    top = found.groupBy("key").agg(F.max(F.struct("score", (-F.col("message_id")).alias("back"))).alias("x"))
+    return top.select(F.col("key").alias(key), (-F.col("x.back")).alias("message_id"), "x.score")
