@@ -10,7 +10,7 @@ from ..functions import bib as B
 
 #: rows of a block
 QUERIES = 1000
-MESSAGES = 10_000
+MESSAGES = 50_000
 
 _NAMES = "ARRAY<STRUCT<family: STRING, given: STRING>>"
 _DATE = "STRUCT<`date-parts`: ARRAY<ARRAY<INT>>>"
