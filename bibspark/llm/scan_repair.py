@@ -298,18 +298,19 @@ def mark_edges(pages: list[Page], vocabulary: Vocabulary, common: int) -> None:
                 p.kind[i] = "other"
 
 
-def following(pages: list[Page], at: int, line: int) -> tuple[Page, int] | None:
-    """The next line of running text, maybe on the next page."""
+def following(pages: list[Page], at: int, line: int, skip: int = 0) -> tuple[Page, int] | None:
+    """The next line of running text, maybe on the next page, or past ``skip`` pages without any."""
     p = pages[at]
     for i in range(line + 1, len(p.lines)):
         if p.kind[i] == "":
             return p, i
-    for q in pages:
-        if q.no == p.no + 1:
-            for i, k in enumerate(q.kind):
-                if k == "":
-                    return q, i
+    for no in range(p.no + 1, p.no + 2 + skip):
+        q = next((q for q in pages if q.no == no), None)
+        if q is None:
             return None
+        for i, k in enumerate(q.kind):
+            if k == "":
+                return q, i
     return None
 
 
@@ -368,7 +369,11 @@ def repaired(text: str, vocabulary: Vocabulary) -> str:
 
 
 def paragraphs(pages: list[Page], vocabulary: Vocabulary, own: set[int]):
-    """(page, number, text) of the paragraphs that begin on the pages ``own`` (positions in ``pages``)."""
+    """(page, number, text) of the paragraphs that begin on the pages ``own`` (positions in ``pages``).
+
+    A paragraph goes on to at most HALO further pages. Opening lines of a page that no paragraph reaches are put out on
+    that page, as its first paragraph, so every line of running text is put out. ``pages`` must hold HALO + 1 pages around.
+    """
     joins = {(id(p), i) for p, i, k in line_noise(pages, vocabulary) if k == "hyphen"}
     lengths = sorted(len(x.rstrip()) for p in pages for x, k in zip(p.lines, p.kind) if k == "")
     width = lengths[int(0.8 * (len(lengths) - 1))] if lengths else 0
@@ -385,29 +390,37 @@ def paragraphs(pages: list[Page], vocabulary: Vocabulary, own: set[int]):
             return line.startswith("  ")
         return p.kind[before] == "blank" and (len(prev := next((p.lines[j] for j in range(before, -1, -1) if p.kind[j] == ""), "").rstrip()) < 0.8 * width and prev.endswith((".", "!", "?", ":")))
 
+    place = {id(p): k for k, p in enumerate(pages)}
+
+    def starts(p: Page, body: list[int]) -> list[int]:
+        return [i for i in body if begins(p, i) or (i == body[0] and not any(q.no == p.no - 1 for q in pages))]
+
+    def lines(at: int, i: int, reach: int) -> list[tuple[Page, int]]:
+        p = q = pages[at]
+        out, j = [], i
+        while True:
+            out.append((q, j))
+            nxt = following(pages, place[id(q)], j, HALO)
+            if nxt is None or begins(*nxt) or nxt[0].no - p.no > reach:
+                return out
+            q, j = nxt
+
+    bodies = [[i for i, k in enumerate(p.kind) if k == ""] for p in pages]
+    first = [starts(p, body) for p, body in zip(pages, bodies)]
+    # only the last paragraph of a page can reach others
+    reached = {id(q) for at, s in enumerate(first) if s for q, _ in lines(at, s[-1], HALO) if q is not pages[at]}
     for at in sorted(own):
-        p, number = pages[at], 0
-        body = [i for i, k in enumerate(p.kind) if k == ""]
-        for i in body:
-            if not begins(p, i) and not (i == body[0] and not any(q.no == p.no - 1 for q in pages)):
-                continue
-            number += 1
-            out, q, j, where, hops = "", p, i, at, 0
-            while True:
+        p, body = pages[at], bodies[at]
+        rest = [body[0]] if body and body[0] not in first[at] and id(p) not in reached else []
+        for number, i in enumerate(rest + first[at], 1):
+            part = lines(at, i, 0 if i in rest else HALO)
+            out = ""
+            for k, (q, j) in enumerate(part):
                 line = repaired(q.lines[j].strip(), vocabulary)
-                if (id(q), j) in joins:
+                if (id(q), j) in joins and k + 1 < len(part):
                     out += re.sub(r"-\s*$", "", line)
                 else:
                     out += line + ("" if line.endswith("-") else " ")
-                nxt = following(pages, where, j)
-                if nxt is None or begins(nxt[0], nxt[1]):
-                    break
-                if nxt[0] is not q:
-                    hops += 1
-                    if hops > HALO:
-                        break
-                    where = pages.index(nxt[0])
-                q, j = nxt
             yield p, number, out.strip()
 
 
@@ -422,7 +435,7 @@ def _vocabulary(pages: DataFrame, text: str) -> tuple[Vocabulary, int]:
     return Vocabulary({r[0]: r[1] for r in rows}), max(5, n // 2000)
 
 
-def scan_blocks(pages: DataFrame, page_id: str, scan: str, number: str, text: str) -> DataFrame:
+def scan_blocks(pages: DataFrame, page_id: str, scan: str, number: str, text: str, halo: int = HALO) -> DataFrame:
     """Different pages of a place with their blocks and salts; context pages come with ``own`` false.
 
     A block whose places hold more than ``CROWD`` different texts (one place scanned over and over, or pages without a
@@ -436,7 +449,7 @@ def scan_blocks(pages: DataFrame, page_id: str, scan: str, number: str, text: st
     here = lambda d: d.join(crowds.withColumnsRenamed({"scan": "_s", "block": "_b"}), F.col("scan").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     worked = here(own).select("scan", "no", "h", "page_id", "txt", "block", F.pmod("h", "salts").alias("salt"), F.lit(True).alias("own"))
     first = places.groupBy("scan", "no").agg(F.min(F.struct("page_id", "h", "txt")).alias("x")).select("scan", "no", "x.h", "x.page_id", "x.txt")
-    near = F.array_distinct(F.array(home, F.floor((F.col("no") - HALO) / BLOCK), F.floor((F.col("no") + HALO) / BLOCK)))
+    near = F.array_distinct(F.array(home, F.floor((F.col("no") - halo) / BLOCK), F.floor((F.col("no") + halo) / BLOCK)))
     context = here(first.withColumn("block", F.explode(near))).select("scan", "no", "h", "page_id", "txt", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("own"))
     return worked.unionByName(context)
 
@@ -474,12 +487,12 @@ def noise_lines(pages: DataFrame, page_id: str = "page_id", scan: str = "file_id
 
 
 def repaired_paragraphs(pages: DataFrame, page_id: str = "page_id", scan: str = "file_id", number: str = "page_no", text: str = "txt") -> DataFrame:
-    """(page_id, par_no, text): paragraphs of running text, at the page where they begin."""
+    """(page_id, par_no, text): paragraphs of running text, at the page where they begin; what follows HALO further pages, page by page."""
 
     def rows(made, ids, vocabulary):
         own = {k for k, p in enumerate(made) if ids[id(p)][3]}
         return [(*ids[id(p)][:3], n, t) for p, n, t in paragraphs(made, vocabulary, own)]
 
-    blocks = scan_blocks(pages, page_id, scan, number, text)
+    blocks = scan_blocks(pages, page_id, scan, number, text, HALO + 1)
     found = _work(blocks, pages, text, "scan bigint, no int, h bigint, par_no int, text string", rows)
     return _back(found, pages, page_id, scan, number, text).select("page_id", "par_no", "text")
