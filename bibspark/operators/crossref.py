@@ -101,6 +101,9 @@ def ranked(queries: DataFrame, messages: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame({"key": left["key"] if found else [], "message_id": [int(ids[i]) for i, _ in found], "score": [s for _, s in found]})
 
     schema = f"key {queries.schema[key].dataType.simpleString()}, message_id bigint, score double"
+    # small inputs, long work: adaptive execution must not join these partitions
+    tasks = min(3 * q_blocks * m_blocks, 2000)
+    q, m = q.repartition(tasks, "cell"), m.repartition(tasks, "cell")
     found = q.groupBy("cell").cogroup(m.groupBy("cell")).applyInPandas(best, schema)
     top = found.groupBy("key").agg(F.max(F.struct("score", (-F.col("message_id")).alias("back"))).alias("x"))
     return top.select(F.col("key").alias(key), (-F.col("x.back")).alias("message_id"), "x.score")
