@@ -18,7 +18,7 @@ class Alphabet:
                 n = 1
             elif 33 <= i < 127:
                 n = i - 33 + 8
-            elif c in "\n\r \u0085":
+            elif c in "\n\r\u0085":
                 n = 2
             elif c.isspace():
                 n = 3
@@ -29,82 +29,94 @@ class Alphabet:
             else:
                 n = 6
             self.table[i] = n
+        self.table[0] = 6
         self.size = 8 + 127 - 33
 
     def encode(self, text: str) -> np.ndarray:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         wide = codes >= len(self.table)
-        out = self.table[np.where(wide, 0, codes)]
-        if wide.any():
-            full = (codes >= 0xFF10) & (codes <= 0xFF19)
-            at = codes == 0xFF20
-            out = np.where(wide, np.where(full, 1, np.where(at, ord("@") - 33 + 8, 7)), out)
-        return out.astype(np.int16)
+        if not wide.any():
+            return self.table[codes]
+        full = (codes >= 0xFF10) & (codes <= 0xFF19)
+        at = codes == 0xFF20
+        return np.where(wide, np.where(full, 1, np.where(at, ord("@") - 33 + 8, 7)), self.table[np.where(wide, 0, codes)]).astype(np.int16)
 
 
 class Tagger:
-    def __init__(self, size: int, tags: int, hidden: int = 20, seed: int = 1):
+    """Gates stand in the order i, f, o, g; sigmoid(z) is tanh(z / 2) / 2 + 1 / 2, so one tanh serves all four."""
+
+    def __init__(self, size: int, tags: int, hidden: int, seed: int = 1):
         r = np.random.default_rng(seed)
         g = lambda *s: (r.standard_normal(s) * 0.2).astype(np.float32)
         self.hidden, self.tags = hidden, tags
-        self.p = {f"x{d}": g(size, 4 * hidden) for d in "fb"} | {f"h{d}": g(hidden, 4 * hidden) for d in "fb"} | {"o": g(2 * hidden, tags), "ob": np.zeros(tags, np.float32), "t": np.zeros((tags, tags), np.float32)}
+        self.p = {f"x{d}": g(size, 4 * hidden) for d in "fb"} | {f"h{d}": g(hidden, 4 * hidden) for d in "fb"}
+        for d in "fb":
+            self.p["x" + d][:, hidden : 2 * hidden] += 1  # remember at first
+        self.p |= {"o": g(2 * hidden, tags), "ob": np.zeros(tags, np.float32), "t": np.zeros((tags, tags), np.float32)}
+        self._halved: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _weights(self, d: str) -> tuple[np.ndarray, np.ndarray]:
+        """Weights with the sigmoid gates halved."""
+        scale = np.ones(4 * self.hidden, np.float32)
+        scale[: 3 * self.hidden] = 0.5
+        return self.p["x" + d] * scale, self.p["h" + d] * scale
 
-    # gates i, f, o use sigmoid(z) = tanh(z / 2) / 2 + 1 / 2, so that one tanh serves all four
     def _run(self, X: np.ndarray, d: str, keep: bool):
         B, L = X.shape
         H = self.hidden
-        Wx, Wh = self.p["x" + d].copy(), self.p["h" + d].copy()
-        Wx[:, : 3 * H] *= 0.5
-        Wh[:, : 3 * H] *= 0.5
+        if keep:
+            Wx, Wh = self._weights(d)
+        else:
+            if d not in self._halved:
+                self._halved[d] = self._weights(d)
+            Wx, Wh = self._halved[d]
         h, c = np.zeros((B, H), np.float32), np.zeros((B, H), np.float32)
         out, saved = np.empty((L, B, H), np.float32), []
+        XT = np.ascontiguousarray(X.T)
+        z, x = np.empty((B, 4 * H), np.float32), np.empty((B, 4 * H), np.float32)
         for t in range(L) if d == "f" else range(L - 1, -1, -1):
-            z = h @ Wh
-            z += Wx[X[:, t]]
+            if keep:
+                z = np.empty((B, 4 * H), np.float32)
+            np.matmul(h, Wh, out=z)
+            np.take(Wx, XT[t], 0, out=x, mode="clip")
+            z += x
             np.tanh(z, out=z)
-            z[:, : 3 * H] *= 0.5
-            z[:, : 3 * H] += 0.5
+            s = z[:, : 3 * H]
+            s *= 0.5
+            s += 0.5
             i, f, o, g = z[:, :H], z[:, H : 2 * H], z[:, 2 * H : 3 * H], z[:, 3 * H :]
             before = (h, c) if keep else None
             c = f * c
             c += i * g
             tc = np.tanh(c)
-            h = o * tc
-            out[t] = h
+            h = np.multiply(o, tc, out=out[t])
             if keep:
                 saved.append((t, z, tc, *before))
         return out, saved
 
     def scores(self, X: np.ndarray) -> np.ndarray:
-        f, b = self._run(X, "f", False)[0], self._run(X, "b", False)[0]
+        """Emission scores (L, B, tags)."""
         H = self.hidden
-        return f @ self.p["o"][:H] + b @ self.p["o"][H:] + self.p["ob"]
+        e = self._run(X, "f", False)[0] @ self.p["o"][:H]
+        e += self._run(X, "b", False)[0] @ self.p["o"][H:]
+        e += self.p["ob"]
+        return e
 
-    def decode(self, X: np.ndarray, lift: float = 0.0) -> np.ndarray:
-        """Best tags (B, L) by Viterbi; ``lift`` lowers the score of tag 0 in favour of the others."""
+    def decode(self, X: np.ndarray) -> np.ndarray:
+        """Best tags (B, L) by Viterbi; the way back is found from the forward scores."""
         e = self.scores(X)
-        if lift:
-            e[:, :, 0] -= lift
         L, B, K = e.shape
-        back = np.empty((L, B, K), np.int8)
-        a = e[0]
         T = self.p["t"]
+        a = np.empty((L, K, B), np.float32)
+        a[0] = e[0].T
         for t in range(1, L):
-            best, arg = a[:, 0, None] + T[0], np.zeros((B, K), np.int8)
-            for k in range(1, K):
-                v = a[:, k, None] + T[k]
-                up = v > best
-                best = np.where(up, v, best)
-                arg[up] = k
-            a = best + e[t]
-            back[t] = arg
+            np.add((a[t - 1][:, None, :] + T[:, :, None]).max(0), e[t].T, out=a[t])
         tags = np.empty((B, L), np.int8)
-        y = a.argmax(1)
-        rows = np.arange(B)
-        tags[:, L - 1] = y
-        for t in range(L - 1, 0, -1):
-            y = back[t][rows, y]
-            tags[:, t - 1] = y
+        y = a[-1].argmax(0)
+        tags[:, -1] = y
+        for t in range(L - 2, -1, -1):
+            y = (a[t] + T[:, y]).argmax(0)
+            tags[:, t] = y
         return tags
 
     def step(self, X: np.ndarray, Y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -116,64 +128,73 @@ class Tagger:
         P = self.p
         e = (f @ P["o"][:H] + b @ P["o"][H:] + P["ob"]).astype(np.float64)
         T = P["t"].astype(np.float64)
-        lse = lambda v, ax: (m := v.max(ax, keepdims=True)).squeeze(ax) + np.log(np.exp(v - m).sum(ax))
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[0] = e[0]
-        for t in range(1, L):
-            alpha[t] = lse(alpha[t - 1][:, :, None] + T, 1) + e[t]
+        top = e.max(2, keepdims=True)
+        E, M = np.exp(e - top), np.exp(T)
+        alpha, beta, norm = np.empty_like(E), np.ones_like(E), np.empty((L, B))
+        for t in range(L):
+            alpha[t] = E[t] if t == 0 else (alpha[t - 1] @ M) * E[t]
+            norm[t] = alpha[t].sum(1)
+            alpha[t] /= norm[t][:, None]
         for t in range(L - 2, -1, -1):
-            beta[t] = lse(T[None] + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        logz = lse(alpha[-1], 1)
+            beta[t] = (beta[t + 1] * E[t + 1]) @ M.T / norm[t + 1][:, None]
+        logz = np.log(norm).sum(0) + top[:, :, 0].sum(0)
         Yt = Y.T
-        rows = np.arange(B)
-        gold = sum(e[t][rows, Yt[t]] for t in range(L)) + sum(T[Yt[t - 1], Yt[t]] for t in range(1, L))
-        de = np.exp(alpha + beta - logz[None, :, None])
-        dT = np.zeros_like(T)
-        for t in range(1, L):
-            pair = np.exp(alpha[t - 1][:, :, None] + T + (e[t] + beta[t])[:, None, :] - logz[:, None, None])
-            dT += pair.sum(0)
-            np.add.at(dT, (Yt[t - 1], Yt[t]), -1)
-        for t in range(L):
-            de[t][rows, Yt[t]] -= 1
+        gold = np.take_along_axis(e, Yt[:, :, None], 2)[:, :, 0].sum(0) + T[Yt[:-1], Yt[1:]].sum(0)
+        de = alpha * beta
+        after = (E * beta / norm[:, :, None])[1:].reshape(-1, self.tags)
+        dT = M * (alpha[:-1].reshape(-1, self.tags).T @ after)
+        np.subtract.at(dT, (Yt[:-1], Yt[1:]), 1)
+        np.put_along_axis(de, Yt[:, :, None], np.take_along_axis(de, Yt[:, :, None], 2) - 1, 2)
         de = (de / B).astype(np.float32)
-        grad = {"t": (dT / B).astype(np.float32), "ob": de.sum((0, 1)), "o": np.concatenate((np.einsum("tbh,tbk->hk", f, de), np.einsum("tbh,tbk->hk", b, de)))}
+        flat = de.reshape(-1, self.tags)
+        grad = {"t": (dT / B).astype(np.float32), "ob": flat.sum(0), "o": np.concatenate((f.reshape(-1, H).T @ flat, b.reshape(-1, H).T @ flat))}
         for d, saved in (("f", sf), ("b", sb)):
             W = P["o"][:H] if d == "f" else P["o"][H:]
-            gx, gh = np.zeros_like(P["x" + d]), np.zeros_like(P["h" + d])
+            dhs = de @ W.T
+            U = P["h" + d].T.copy()
             dh, dc = np.zeros((B, H), np.float32), np.zeros((B, H), np.float32)
+            dzs, hs = np.empty((L, B, 4 * H), np.float32), np.empty((L, B, H), np.float32)
             for t, z, tc, h0, c0 in reversed(saved):
                 i, fg, o, g = z[:, :H], z[:, H : 2 * H], z[:, 2 * H : 3 * H], z[:, 3 * H :]
-                dh = dh + de[t] @ W.T
+                dh = dh + dhs[t]
                 dc = dc + dh * o * (1 - tc * tc)
-                dz = np.concatenate((dc * g * i * (1 - i), dc * c0 * fg * (1 - fg), dh * tc * o * (1 - o), dc * i * (1 - g * g)), 1)
-                gh += h0.T @ dz
-                np.add.at(gx, X[:, t], dz)
-                dh, dc = dz @ P["h" + d].T, dc * fg
-            grad["x" + d], grad["h" + d] = gx, gh
+                dz = dzs[t]
+                dz[:, :H], dz[:, H : 2 * H], dz[:, 2 * H : 3 * H], dz[:, 3 * H :] = dc * g * i * (1 - i), dc * c0 * fg * (1 - fg), dh * tc * o * (1 - o), dc * i * (1 - g * g)
+                hs[t] = h0
+                dh, dc = dz @ U, dc * fg
+            flat = dzs.reshape(-1, 4 * H)
+            grad["h" + d] = hs.reshape(-1, H).T @ flat
+            # sums by character: sorted, so that one reduction serves each
+            codes = X.T.reshape(-1)
+            order = np.argsort(codes, kind="stable")
+            at = np.flatnonzero(np.diff(codes[order], prepend=-1))
+            gx = np.zeros_like(P["x" + d])
+            gx[codes[order][at]] = np.add.reduceat(flat[order], at, 0)
+            grad["x" + d] = gx
         return float((logz - gold).mean()), grad
 
-    def fit(self, batches, rate: float = 0.01, clip: float = 5.0, say=None) -> None:
-        """Adam over batches of (X, Y)."""
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        for n, (X, Y, part) in enumerate(batches, 1):
-            loss, grad = self.step(X, Y)
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-            r = rate * (1 - 0.9 * part)
-            for k, g in grad.items():
-                g = g * min(1.0, clip / (norm + 1e-9))
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.999 * v[k] + 0.001 * g * g
-                self.p[k] -= (r * (m[k] / (1 - 0.9**n)) / (np.sqrt(v[k] / (1 - 0.999**n)) + 1e-8)).astype(np.float32)
-            if say and n % 25 == 0:
-                say(n, loss)
-
-    def save(self, path: str) -> None:
-        np.savez_compressed(path, hidden=self.hidden, tags=self.tags, **{k: v.astype(np.float16) for k, v in self.p.items()})
+    def save(self, path: str, **more) -> None:
+        np.savez_compressed(path, hidden=self.hidden, tags=self.tags, **{"w_" + k: v.astype(np.float16) for k, v in self.p.items()}, **more)
 
     @classmethod
     def load(cls, path: str) -> Tagger:
         z = np.load(path)
         out = cls(1, int(z["tags"]), int(z["hidden"]))
-        out.p = {k: z[k].astype(np.float32) for k in z.files if k not in ("hidden", "tags")}
+        out.p = {k[2:]: z[k].astype(np.float32) for k in z.files if k.startswith("w_")}
         return out
+
+
+class Adam:
+    def __init__(self, p: dict[str, np.ndarray], clip: float = 5.0):
+        self.p, self.clip, self.n = p, clip, 0
+        self.m = {k: np.zeros_like(v) for k, v in p.items()}
+        self.v = {k: np.zeros_like(v) for k, v in p.items()}
+
+    def update(self, grad: dict[str, np.ndarray], rate: float) -> None:
+        self.n += 1
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        for k, g in grad.items():
+            g = g * min(1.0, self.clip / (norm + 1e-9))
+            self.m[k] += 0.1 * (g - self.m[k])
+            self.v[k] += 0.001 * (g * g - self.v[k])
+            self.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.n)) / (np.sqrt(self.v[k] / (1 - 0.999**self.n)) + 1e-8)).astype(np.float32)
