@@ -1,14 +1,15 @@
 """Training of the tagger from labelled spans: ``python -m bibspark.llm.pii_train DOCUMENTS.parquet``.
 
 At most ``SAMPLE_DOCS`` documents are labelled (a documented bound) by pii_labels; every fifth is held out. Beside each
-text stands a copy in which names and towns are replaced by invented words, so that the tagger learns from form and
-context and not from the sample's names. Batches are worked by ``WORKERS`` processes, whose gradients are averaged.
+text stands a copy in which names and towns are replaced by invented words, and some of the copies have a name more
+where none stood, so that the tagger learns from form and context and not from the sample's names and turns. Batches are worked by ``WORKERS`` processes, whose gradients are averaged.
 Seeds are fixed.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import sys
 import time
 from collections import Counter
@@ -28,6 +29,8 @@ RATE = 0.01
 #: a word is ordinary if it occurs this often, and in details at most at this share
 ORDINARY, INSIDE = 8, 0.02
 SWAPPED = 0.4
+#: share of the copies that get a name more, anywhere in their text
+MOVED = 0.3
 
 Spans = list[tuple[int, int, str]]
 
@@ -60,6 +63,22 @@ def _invented(r: np.random.Generator, like: str) -> str:
     return w.upper() if like.isupper() else w.lower() if like.islower() else w.capitalize()
 
 
+_PARTS = re.compile(r"[^\W\d_]{2,}")
+_BLANK = re.compile(r"(?<=[a-z,]) (?=[a-z])")
+
+
+def moved(text: str, spans: Spans, names: list[str], r: np.random.Generator) -> tuple[str, Spans]:
+    """The text with one of ``names`` put between two words of lower case outside of its details."""
+    places = [m.start() + 1 for m in _BLANK.finditer(text)]
+    if not places or not names:
+        return text, spans
+    at, name = int(r.choice(places)), str(names[int(r.integers(len(names)))])
+    if any(a - 2 < at < b + 2 for a, b, _ in spans):
+        return text, spans
+    n = len(name) + 1
+    return text[:at] + name + " " + text[at:], sorted([(a + n * (a >= at), b + n * (a >= at), k) for a, b, k in spans] + [(at, at + n - 1, "name")])
+
+
 def swapped(text: str, spans: Spans, r: np.random.Generator) -> tuple[str, Spans]:
     """The text with some words of its names, addresses and mail addresses replaced by invented ones."""
     out: list[str] = []
@@ -75,9 +94,9 @@ def swapped(text: str, spans: Spans, r: np.random.Generator) -> tuple[str, Spans
         put(text[at:a])
         begin, s = size, text[a:b]
         last = 0
-        for m in pii.WORD.finditer(s):
-            free = k == "name" and len(m[0]) > 2 or k == "email" and m.end() < max(s.find("@"), s.find("[")) or k == "address" and m.end() == len(s)
-            if free and r.random() < SWAPPED:
+        for m in _PARTS.finditer(s):
+            free = k == "name" and len(m[0]) > 2 or k == "email" and m[0].lower() not in ("at", "dot") or k == "address" and (m.end() == len(s) or len(m[0]) > 5 and r.random() < 0.3)
+            if free and r.random() < (SWAPPED if k != "email" else SWAPPED / 2):
                 put(s[last : m.start()])
                 put(_invented(r, m[0]))
                 last = m.end()
@@ -95,9 +114,10 @@ class Sample:
         r = np.random.default_rng(seed)
         alphabet = Alphabet()
         texts, labels = list(texts), list(labels)
+        names = [t[a:b] for t, s in zip(texts, labels) for a, b, k in s if k == "name" and "," not in t[a:b] and t[a : a + 2].istitle()]
         for t, s in list(zip(texts, labels)):
-            if s:
-                t2, s2 = swapped(t, s, r)
+            if s or r.random() < MOVED:
+                t2, s2 = swapped(*(moved(t, s, names, r) if r.random() < MOVED else (t, s)), r)
                 texts.append(t2)
                 labels.append(s2)
         X, Y, spans, at = [], [], [], 0
