@@ -105,9 +105,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every author of a record who is an entry of author_registry."""
     bib, fields = read(spark, sf_dir, "bib_entry"), P.bib_fields("author")
     names = written(P.split_fields(bib, ["rec_id"], fields, P.fit(bib, fields), post=name_variants.fold_name).select("rec_id", "pos", F.col("item").alias("name")))
-    entries = read(spark, sf_dir, "author_registry").select("person_id", "family", "given", (F.col("kind") == "organisation").alias("org")).where("person_id is not null").distinct()
-    registry = [tuple(r) for r in entries.collect()]  # a fixed table
-    return name_variants.link_mentions(names, "name", ["rec_id", "pos"], registry)
+    entries = read(spark, sf_dir, "author_registry").select("person_id", "family", "given", (F.col("kind") == "organisation").alias("org"))
+    return name_variants.link_mentions(names, "name", ["rec_id", "pos"], entries)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

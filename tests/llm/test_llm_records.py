@@ -84,13 +84,65 @@ NAMES = {
 }
 
 
+# short forms are learned: each occurs with three more families in which the registry has the full name
+TAUGHT = {"Edward": ["ned", "ted"], "Anthony": ["tony"], "Robert": ["bob"]}
+FAMILIES = ["Quilnavik", "Drosmerlet", "Ulmhaver", "Pirstanzo"]
+_TYPES = "person_id long, family string, given string, org boolean"
+
+
+def _taught():
+    entries = [(100 + 10 * i + j, f + g[:2].lower(), g, False) for i, g in enumerate(TAUGHT) for j, f in enumerate(FAMILIES)]
+    return entries, [f"{s} {f + g[:2]}" for g, short in TAUGHT.items() for f in FAMILIES for s in [g, *short]]
+
+
+def _linked(spark, names, registry):
+    d = spark.createDataFrame([(i, 1, name_variants.fold_name(n) if n is not None else None, 5) for i, n in enumerate(names)], "rec_id long, pos int, name string, person_id long")
+    return {r["rec_id"]: r["person_id"] for r in name_variants.link_mentions(d, "name", ["rec_id", "pos"], spark.createDataFrame(registry, _TYPES)).collect()}
+
+
 def test_names(spark):
-    rows = [(i, 1, name_variants.fold_name(n)) for i, n in enumerate(NAMES)] + [(99, 1, None)]
-    d = spark.createDataFrame([(*r, 5) for r in rows], "rec_id long, pos int, name string, person_id long")
-    got = {r["rec_id"]: r["person_id"] for r in name_variants.link_mentions(d, "name", ["rec_id", "pos"], REGISTRY).collect()}
+    entries, mentions = _taught()
+    names = [*NAMES, *mentions, None]
+    got = _linked(spark, names, REGISTRY + entries)
     assert {n: got.get(i) for i, n in enumerate(NAMES)} == NAMES
-    assert name_variants.link_mentions(d.limit(0), "name", ["rec_id", "pos"], REGISTRY).count() == 0
-    assert name_variants.link_mentions(d, "name", ["rec_id", "pos"], []).count() == 0
+    assert len(got) == sum(x is not None for x in NAMES.values()) + len(mentions)
+    assert _linked(spark, [], REGISTRY) == {} and _linked(spark, names, []) == {}
+
+
+def test_clusters_decide(spark, monkeypatch):
+    """Without linkage nothing is linked, and the mentions of a cluster draw what fits several entries."""
+    registry = [(1, "Torvaldsund", "Maria", False), (2, "Torvaldsund", "Martin Otto", False), (3, None, "Ann", False), (None, "Xanvik", "Bo", False)]
+    names = ["Torvaldsund, M.", "Torvaldsund, Maria", "Maria Torvaldsund", "Torvaldsund, Martin O.", "Martin Torvaldsund", "Bo Xanvik"]
+    got = _linked(spark, names, registry)
+    assert got == {0: 1, 1: 1, 2: 1, 3: 2, 4: 2}
+    monkeypatch.setattr(name_variants, "LINKAGE", 1.01)
+    assert _linked(spark, names, registry) == {}
+
+
+def test_shards_lose_nothing(spark, monkeypatch):
+    """The sharded join finds the pairs of the join in one shard, and all of a brute-force comparison."""
+    import numpy as np
+
+    entries, mentions = _taught()
+    registry = spark.createDataFrame(REGISTRY + entries, _TYPES)
+    names = spark.createDataFrame([(name_variants.fold_name(n), 1) for n in [*NAMES, *mentions] if n.strip()], "name string, n long").distinct()
+    weights = name_variants.Weights(*name_variants.document_frequencies(names, "name"))
+    shared = spark.sparkContext.broadcast(weights)
+    pairs = lambda k, tasks: {(r["name"], r["person_id"]) for r in name_variants.near_entries(names, registry, shared, k, tasks).collect()}
+    one = pairs(1, 1)
+    assert one and pairs(7, 3) == one
+
+    def unit(s):
+        _, b, w = weights.vectors([s])
+        v = np.zeros(name_variants.SPACE)
+        v[b] = w
+        return v
+
+    for n in [r["name"] for r in names.collect()]:
+        for i, f, g, o in REGISTRY + entries:
+            e = name_variants.entry(o, f, g)
+            if max(float(unit(n) @ unit(s)) for s in e.spellings()) >= name_variants.LEAST + 1e-6 and e.families(n):
+                assert (n, i) in one
 
 
 @given(st.text(alphabet="abc", max_size=7), st.text(alphabet="abc", max_size=7))
@@ -104,14 +156,15 @@ def test_candidates_lose_no_typing_error():
     """Every name one typing error away from a family name passes the trigram bound."""
     import numpy as np
 
-    r = name_variants.Registry(REGISTRY, np.ones(name_variants.SPACE, np.int64), 100)
+    entries = [name_variants.entry(o, f, g) for _, f, g, o in REGISTRY]
+    index = name_variants.Index(entries, name_variants.Weights(np.ones(name_variants.SPACE, np.int64), 100))
     rnd, wrong = random.Random(1), []
-    for e in r.entries[:5]:
+    for k, e in enumerate(entries[:5]):
         f = " ".join(e.family)
         for _ in range(60):
             i = rnd.randrange(len(f) - 1)
             g = rnd.choice([f[:i] + f[i + 1 :], f[:i] + "q" + f[i:], f[:i] + "q" + f[i + 1 :], f[:i] + f[i + 1] + f[i] + f[i + 2 :]])
             name = f"{g}, {e.given[0]}"
-            if e.edits(name) < 9 and r.link([name])[name] is None:
+            if e.edits(name) < 9 and not any(j == k for _, j, _, _ in index.near([name], 0.3)):
                 wrong.append(name)
     assert not wrong
