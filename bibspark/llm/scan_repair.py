@@ -1,15 +1,19 @@
 """Repair of text from scanned pages: running lines, page numbers, misread words, hyphenation, paragraphs.
 
-1. One distributed pass counts words (letter case dropped, every digit as ``9``), words hyphenated within a line, and
-   lines at page edges. Entries with a share of 1/``HEAVY`` or more are kept: a vocabulary of bounded size.
-2. Pages are grouped by scan and by runs of ``BLOCK`` page numbers, with ``HALO`` pages of each neighbouring block as
-   context, so that no scan, however long, is one task. Equal pages of a place are worked once.
-3. Page numbers are lines at a page edge that read as the page's number, decorated or misread. Running headers and
-   footers are edge lines that recur, but for digits and misreadings, on pages near by or at page edges of the corpus,
-   that stand beside the page number, or that are too short for a full line and end no paragraph.
-4. A word is misread if a usual misreading of a far more frequent word explains it. A hyphen at the end of a line is
+1. Pages are grouped by scan and by runs of ``BLOCK`` page numbers, with the pages around as context, so that no scan,
+   however long, is one task. Equal pages of a place are worked once. The neighbours of a page are the first
+   text of each place around it, so blocks and salts change no row.
+2. One distributed pass over the different pages counts words, words hyphenated within a line, and pairs of words at page
+   edges and elsewhere, in a sketch of ``CELLS`` cells (two hashes, the smaller count holds). Its size is fixed,
+   and no count is cut off by the size of the corpus: what it cannot tell apart are shares below about 1 / CELLS.
+3. Page numbers: tokens at the edges of neighbouring pages that go up with the pages give the distance of the printed number
+   from the page's place; a line at an edge that reads as that number, decorated or misread, is a page number.
+4. Running headers and footers: an edge line that recurs, by trigrams of its letters, at the same edge of a page near by;
+   or many of whose pairs of words recur at page edges of the corpus far more often than inside pages; or that carries the
+   page number. A line whose pairs of words are those of running text must recur nearly whole.
+5. A word is misread if a usual misreading of a far more frequent word explains it. A hyphen at the end of a line is
    no part of the word if the joined word is known and more usual than the hyphenated one.
-5. Lines that remain are joined to paragraphs, over page breaks.
+6. Lines that remain are joined to paragraphs, over page breaks.
 
 Defined results: null and empty pages and pages without a number give nothing; a page scanned twice gives its lines twice (with its own page_id);
 misreadings in running lines and page numbers do not count; table rows and headings are no running text; a paragraph
@@ -19,23 +23,33 @@ ends after ``HALO`` further pages.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import pairwise
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEAVY = 200_000
+from ..tables import written
+
 BLOCK = 32
 HALO = 3
+#: pages on either side in which an edge line may recur
+NEAR = 4
+CELLS = 1 << 21
+PARTS = 64
 FLUSH = 200_000
-CROWD = 512
+#: different texts of a block that one task works at once; the rest goes to others
+CROWD = 256
 #: how much more frequent the right word must be, and how often it must occur at least
 RATIO = 8
 KNOWN = 4
+#: trigrams two edge lines share, and those two lines in the words of running text share; times more often at edges than
+#: inside; pages at least; part of a line's pairs
+ALIKE, SAME, EDGY, OFTEN, MOST = 0.6, 0.85, 10, 3, 0.4
 
 # fixed values: usual misreadings, "read for right"; 9 stands for any digit
 MISREADINGS = (
@@ -45,12 +59,11 @@ MISREADINGS = (
 _PAIRS = [tuple(x.split(":")) for x in MISREADINGS]
 
 _WORD = re.compile(r"[!|]?[^\W_]+(?:[!|][^\W_]+)*")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _INNER = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _DIGIT = re.compile(r"\d")
+_BROKEN = re.compile(r"\S+-[^\S\n]*\n\s*\S+")
 _HEADING = re.compile(r"\s*(?:\d+(?:\.\d+)*\.?\s+[^\W\d_]\S*(?:\s+\S+){0,4}|[^\W\d_]+\s+[\dlIOZSB]{1,3}\.?)\s*")
-_TITLED = re.compile(r".* et al|[^\W\d_]+(?: [A-Z]\.)?[,:] [^\W\d_]|(?:\W*[A-Z0-9]\S*(?: of the| on| of| the| and| &)?)+\W*$|©")
-_TURNS = re.compile(r"\b(?:the|and|of|is|was|were|that|this|to|a|by)\b")
-_NAMED = re.compile(r"[\w!|'’\-]+(?: [A-Z]\.)?, [A-Z0-9]\S* \S|.* et al\b")
 _LAST = re.compile(r"([^\W_]+(?:[!|][^\W_]+)*)-\s*$")
 _FIRST = re.compile(r"\s*([^\W_]+(?:[!|][^\W_]+)*)")
 
@@ -59,9 +72,15 @@ def norm(word: str) -> str:
     return _DIGIT.sub("9", word.lower())
 
 
-def edge_form(line: str) -> str:
-    """Letters of an edge line, for comparison."""
-    return re.sub(r"[\W\d_]+", " ", line.lower()).strip()
+@lru_cache(maxsize=FLUSH)
+def edge_grams(line: str) -> frozenset[str]:
+    """Trigrams of the letters of an edge line."""
+    form = re.sub(r"[\W\d_]+", " ", line.lower()).strip()
+    return frozenset(form[i : i + 3] for i in range(len(form) - 2)) if len(form) > 4 else frozenset()
+
+
+def alike(a: frozenset[str], b: frozenset[str], share: float) -> bool:
+    return bool(a and b) and 2 * len(a & b) >= share * (len(a) + len(b))
 
 
 def is_table(line: str) -> bool:
@@ -69,44 +88,125 @@ def is_table(line: str) -> bool:
     return len(cells) > 2 or len(cells) == 2 and sum(c.isdigit() for c in line) > 2 and not re.search(r"[^\W\d_]{4}", line)
 
 
-def page_counts(pages: DataFrame, text: str) -> DataFrame:
-    """(sym, n): words, ``-`` words hyphenated inside a line, ``#`` edge lines, over all pages."""
+def _cells(sym: str) -> tuple[int, int]:
+    h = zlib.crc32(sym.encode("utf-8", "surrogatepass"))
+    return h & (CELLS - 1), CELLS + (h >> 11)
+
+
+def pairs_of(words: list[str]) -> list[str]:
+    """Neighbouring words of a line, its ends included."""
+    return [f"{a} {b}" for a, b in pairwise(["", *words, ""])] if words else []
+
+
+EDGE_LINES, INNER_LINES = ">", "<"
+
+
+def count_page(text: str, c: Counter) -> None:
+    """Words, ``-`` words hyphenated inside a line, ``>`` pairs of words at edges and ``<`` elsewhere, of one page."""
+    low = _DIGIT.sub("9", text.lower())
+    whole = _BROKEN.sub(" ", low) if "-" in low else low
+    c.update(_WORD.findall(whole))
+    if "-" in whole:
+        c.update("-" + m for m in _INNER.findall(whole))
+    lines = [x for x in low.split("\n") if x and not x.isspace()]
+    for x in lines[2:-2]:
+        c.update(["<" + p for p in pairs_of(_LETTERS.findall(x))])
+    edge = {p for x in {*lines[:2], *lines[-2:]} for p in pairs_of(_LETTERS.findall(x))}
+    c.update([">" + p for p in edge])
+    c[EDGE_LINES] += min(4, len(lines))
+    c[INNER_LINES] += max(0, len(lines) - 4)
+
+
+def count_sketch(pages: DataFrame, text: str) -> np.ndarray:
+    """The sketch of all pages: tables of the tasks, cut in ``PARTS`` and added part by part."""
+    size = 2 * CELLS // PARTS
 
     def count(batches):
+        table = np.zeros(2 * CELLS, np.int64)
         c: Counter = Counter()
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["sym", "n"])
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                if not t:
-                    continue
-                lines = [x for x in t.splitlines() if x.strip()]
-                for x in {edge_form(y) for y in lines[:2] + lines[-2:]}:
-                    if 4 < len(x) < 100:
-                        c["#" + x] += 1
-                for i, x in enumerate(lines):
-                    words = _WORD.findall(x)
-                    if i and lines[i - 1].rstrip().endswith("-"):
-                        words = words[1:]
-                    if x.rstrip().endswith("-"):
-                        words = words[:-1]
-                    c.update(map(norm, words))
-                    if "-" in x:
-                        c.update("-" + m.lower() for m in _INNER.findall(x))
-            if len(c) > FLUSH:
-                yield out()
-                c.clear()
-        yield out()
-
-    return pages.select(text).mapInArrow(count, "sym string, n long").groupBy("sym").agg(F.sum("n").alias("n"))
+        def add():
+            for sym, n in c.items():
+                a, b = _cells(sym)
+                table[a] += n
+                table[b] += n
+            c.clear()
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                count_page(t, c)
+                if len(c) > FLUSH:
+                    add()
+        add()
+        parts = [(k, table[k * size : (k + 1) * size]) for k in range(PARTS)]
+        at = [np.flatnonzero(x) for _, x in parts]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in parts], pa.int32()), pa.array([x.astype(np.int32).tobytes() for x in at], pa.binary()), pa.array([x[i].tobytes() for (_, x), i in zip(parts, at)], pa.binary())],
+            names=["part", "at", "n"],
+        )
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.int64)
+        for a, n in zip(rows.column("at").to_pylist(), rows.column("n").to_pylist()):
+            total[np.frombuffer(a, np.int32)] += np.frombuffer(n, np.int64)
+        total = np.minimum(total, 2**31 - 1).astype(np.int32)
+        at = np.flatnonzero(total).astype(np.int32)
+        return pa.table([rows.column("part").slice(0, 1), pa.array([at.tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], names=["part", "at", "n"])
+
+    out = np.zeros(2 * CELLS, np.int32)
+    local = pages.select(text).mapInArrow(count, "part int, at binary, n binary")
+    for part, at, n in local.groupBy("part").applyInArrow(add, "part int, at binary, n binary").collect():  # 2 * CELLS numbers at most
+        out[part * size + np.frombuffer(at, np.int32)] = np.frombuffer(n, np.int32)
+    return out
 
 
 class Vocabulary:
-    def __init__(self, counts: dict[str, int]):
-        self.n = counts
+    def __init__(self, sketch: np.ndarray):
+        self.sketch = sketch
+        self._setup()
+
+    def _setup(self) -> None:
+        self.cells = memoryview(self.sketch)
+        self.memo: dict[str, int] = {}
         self.wrong: dict[str, str | None] = {}
+        self.spread = max(1, self.count(INNER_LINES)) / max(1, self.count(EDGE_LINES))
+
+    def __getstate__(self):
+        return self.sketch
+
+    def __setstate__(self, sketch):
+        self.sketch = np.ascontiguousarray(sketch)
+        self._setup()
+
+    @classmethod
+    def of(cls, counts: dict[str, int]) -> Vocabulary:
+        sketch = np.zeros(2 * CELLS, np.int32)
+        for sym, n in counts.items():
+            for k in _cells(sym):
+                sketch[k] += n
+        return cls(sketch)
+
+    def count(self, sym: str) -> int:
+        n = self.memo.get(sym)
+        if n is None:
+            a, b = _cells(sym)
+            n = min(self.cells[a], self.cells[b])
+            if len(self.memo) > 2 * FLUSH:
+                self.memo.clear()
+            self.memo[sym] = n
+        return n
+
+    def lines(self, line: str) -> tuple[float, float]:
+        """Part of a line's pairs of words that recur at edges rather than inside pages, and inside rather than at edges."""
+        words = [norm(w) for w in _WORD.findall(line)]
+        words = [w for w in (self.right(w) or w for w in words) if w.isalpha()]
+        edgy = inner = 0
+        pairs = pairs_of(words)
+        for p in pairs:
+            e, i = self.count(">" + p), self.count("<" + p)
+            edgy += e >= OFTEN and e * self.spread > EDGY * i
+            inner += i >= OFTEN and e * self.spread < EDGY * i / 2
+        return edgy / max(1, len(pairs)), inner / max(1, len(pairs))
 
     def right(self, word: str) -> str | None:
         """The word that a normalised word is a misreading of, or None."""
@@ -126,12 +226,12 @@ class Vocabulary:
     def _right(self, word: str) -> str | None:
         if not word or word.strip("9") == "":
             return None
-        n = self.n.get(word, 0)
-        best = max(((self.n.get(x, 0), x) for x in self._near(word)), default=(0, ""))
+        n = self.count(word)
+        best = max(((self.count(x), x) for x in self._near(word)), default=(0, ""))
         if best[0] >= KNOWN and best[0] >= RATIO * max(1, n):
             return best[1]
         if n < KNOWN and len(word) > 4:
-            best = max(((self.n.get(y, 0), y) for x in set(self._near(word)) for y in self._near(x)), default=(0, ""))
+            best = max(((self.count(y), y) for x in set(self._near(word)) for y in self._near(x)), default=(0, ""))
             if best[0] >= 8 * KNOWN and best[1] != word and best[0] >= 4 * RATIO * max(1, n):
                 return best[1]
         return None
@@ -139,20 +239,20 @@ class Vocabulary:
     def keeps_hyphen(self, left: str, first: str, second: str) -> bool:
         """Whether the hyphen between two parts belongs to the word; ``left`` is what precedes within the compound."""
         joined, compound = norm(first + second), f"-{first}-{second}".lower()
-        a, b = self.known(joined), self.n.get(compound, 0)
+        a, b = self.known(joined), self.count(compound)
         if left:
-            b = max(b, self.n.get(f"-{left}-{first}-{second}".lower(), 0))
-            a = max(a, self.n.get(f"-{left}-{first}{second}".lower(), 0))
+            b = max(b, self.count(f"-{left}-{first}-{second}".lower()))
+            a = max(a, self.count(f"-{left}-{first}{second}".lower()))
         if a or b:
             return b > a
         fixed = self.right(norm(second)) or second.lower()
-        if self.n.get(f"-{self.right(norm(first)) or first.lower()}-{fixed}", 0):
+        if self.count(f"-{self.right(norm(first)) or first.lower()}-{fixed}"):
             return True
         return False
 
     def known(self, word: str) -> int:
-        n = self.n.get(word, 0)
-        return n or self.n.get(self.right(word) or "", 0)
+        n = self.count(word)
+        return n or (self.count(x) if (x := self.right(word)) else 0)
 
 
 _ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
@@ -228,74 +328,57 @@ class Page:
         self.lines = text.split("\n")
         self.kind = ["" if x.strip() else "blank" for x in self.lines]
         full = [i for i, k in enumerate(self.kind) if not k]
-        self.top, self.bottom = full[:4], full[::-1][:4]
-        self.forms = [[edge_form(self.lines[i]) for i in e] for e in (self.top, self.bottom)]
-
-    def last(self) -> str:
-        return next((self.lines[i].strip() for i in range(len(self.lines) - 1, -1, -1) if self.kind[i] == ""), "")
-
-    def flows_past(self, i: int, before: Page | None) -> bool:
-        """The text of the page before goes on in the line after line i, which looks like a heading of the page."""
-        if before is None or i + 1 >= len(self.lines):
-            return False
-        at = next((j for j in range(i + 1, len(self.lines)) if self.kind[j] == ""), None)
-        end = before.last()
-        s = self.lines[i].strip()
-        if at is None or not end or s.endswith((".", ",", ";", "-")):
-            return False
-        titled = sum(w[:1].isupper() for w in s.split()) > 0.6 * len(s.split()) or " et al" in s or re.match(r"[^\W\d_]+(?: [A-Z]\.)?[,:] [A-Z]", s)
-        return bool(titled and not end.endswith((".", ":")) and self.lines[at].strip()[:1].islower())
-
-
-@lru_cache(maxsize=100_000)
-def _alike(a: str, b: str) -> bool:
-    if not a or not b or abs(len(a) - len(b)) > 0.25 * max(len(a), len(b)):
-        return False
-    return a == b or SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.88
-
-
-def mark_edges(pages: list[Page], vocabulary: Vocabulary, common: int) -> None:
-    """Set the kind of page numbers and running lines."""
-    lengths = sorted(len(x.rstrip()) for p in pages for x, k in zip(p.lines, p.kind) if k == "")
-    width = lengths[int(0.8 * (len(lengths) - 1))] if lengths else 0
-    for p in pages:
-        near = [q for q in pages if q.no != p.no and abs(q.no - p.no) <= HALO]
-        before = next((q for q in pages if q.no == p.no - 1), None)
-        for side, edge in enumerate((p.top, p.bottom)):
-            numbered = False
-            for rank, i in enumerate(edge):
-                line, s = p.lines[i], p.lines[i].strip()
-                if p.kind[i] not in ("", "text"):
-                    continue
-                if not numbered and is_page_number(line, p.no):
-                    p.kind[i], numbered = "pagenum", True
-                    continue
-                if is_table(line) and not with_number(line, p.no):
-                    break
-                form = p.forms[side][rank]
-                ends = s.endswith((".", ";", ",")) and not re.search(r"\)\.?$", s)
-                running = not numbered and with_number(line, p.no)
-                if not running and not s[:1].islower() and len(form) > 2 and not _HEADING.fullmatch(line):
-                    twins = [q for q in near if any(_alike(form, f) for f in q.forms[side])]
-                    often = vocabulary.n.get("#" + form, 0) >= common
-                    shouted = s.upper() == s and sum(c.isalpha() for c in s) > 5
-                    titled = bool(_TITLED.match(s))
-                    # a full line of ordinary words may recur at edges by chance: it must do so on several pages
-                    wordy = len(s) >= 0.8 * width and not shouted and not titled and len(_TURNS.findall(s)) > 1
-                    short = len(s) < 0.8 * width and not s.endswith((".", "-", ",", ";")) and (side == 0 or not s.endswith(":"))
-                    named = side == 0 and rank == 0 and not ends and len(s) <= 1.2 * width and _NAMED.match(s) is not None
-                    apart = side == 0 and len(s) < width and p.flows_past(i, before)
-                    again = len(twins) > wordy and (titled or shouted or wordy or len(s) < 0.85 * width) and not (ends and len(s) > 0.8 * width)
-                    running = apart or named or again or (often and not ends and not wordy) or short or shouted
-                if not running and s[:1].islower() and not ends and len(s) < 0.8 * width:
-                    running = any(_alike(form, f) for q in near for f in q.forms[side])
-                if running:
-                    p.kind[i] = "running"
-                    continue
+        self.edges = full[:4], full[::-1][:4]
+        self.grams = [[edge_grams(self.lines[i]) for i in e] for e in self.edges]
+        lengths = sorted(len(self.lines[i].rstrip()) for i in full)
+        self.width = lengths[int(0.8 * (len(lengths) - 1))] if lengths else 0
+
+
+def printed_numbers(p: Page) -> set[int]:
+    """Numbers at the page's edges that stand alone or at the end or beginning of a line."""
+    out = set()
+    for edge in p.edges:
+        for i in edge[:2]:
+            words = p.lines[i].split()
+            for w in {words[0], words[-1]}:
+                t = re.sub(r"\W", "", w)
+                if t.isdecimal() and len(t) < 7:
+                    out.add(int(t))
+    return out
+
+
+def distance(p: Page, near: list[Page]) -> int:
+    """How far the printed page numbers are from the places: the sequence that most of the pages near by follow, else 0."""
+    votes = Counter(n - q.no for q in [p, *near] for n in printed_numbers(q))
+    best = max(votes.items(), key=lambda x: (x[1], x[0] == 0, -abs(x[0])), default=(0, 0))
+    return best[0] if best[1] > 1 else 0
+
+
+def mark_edges(p: Page, near: list[Page], vocabulary: Vocabulary) -> None:
+    """Set the kind of the page's numbers and running lines; ``near`` are the pages around it."""
+    number = p.no + distance(p, near)
+    for side, edge in enumerate(p.edges):
+        numbered = False
+        for rank, i in enumerate(edge):
+            line = p.lines[i]
+            if not numbered and is_page_number(line, number):
+                p.kind[i], numbered = "pagenum", True
+                continue
+            if not numbered and with_number(line, number):
+                p.kind[i], numbered = "running", True
+                continue
+            if is_table(line) or _HEADING.fullmatch(line):
                 break
-        for i, k in enumerate(p.kind):
-            if k == "" and (is_table(p.lines[i]) or _HEADING.fullmatch(p.lines[i]) and len(p.lines[i].strip()) < 0.7 * max(width, 30) and not p.lines[i].strip().endswith(("-", ","))):
-                p.kind[i] = "other"
+            grams = p.grams[side][rank]
+            edgy, inner = vocabulary.lines(line)
+            share = ALIKE if inner < MOST else SAME
+            if edgy >= max(MOST, inner) or any(alike(grams, g, share) for q in near for g in q.grams[side]):
+                p.kind[i] = "running"
+                continue
+            break
+    for i, k in enumerate(p.kind):
+        if k == "" and (is_table(p.lines[i]) or _HEADING.fullmatch(p.lines[i]) and len(p.lines[i].strip()) < 0.7 * max(p.width, 30) and not p.lines[i].strip().endswith(("-", ","))):
+            p.kind[i] = "other"
 
 
 def following(pages: list[Page], at: int, line: int, skip: int = 0) -> tuple[Page, int] | None:
@@ -317,6 +400,7 @@ def following(pages: list[Page], at: int, line: int, skip: int = 0) -> tuple[Pag
 def line_noise(pages: list[Page], vocabulary: Vocabulary):
     """(page, line, kind) of all noise, and the joins of hyphenated words."""
     carried: set[tuple[int, int]] = set()  # lines that begin with the rest of a word
+    wrong = {w for p in pages for w in {w for i, k in enumerate(p.kind) if not k for w in _WORD.findall(p.lines[i])} if vocabulary.right(norm(w))}
     for at, p in enumerate(pages):
         if not any(q.no == p.no - 1 for q in pages) and (body := [i for i, k in enumerate(p.kind) if k == ""]) and p.lines[body[0]][:1].islower():
             carried.add((id(p), body[0]))
@@ -326,8 +410,8 @@ def line_noise(pages: list[Page], vocabulary: Vocabulary):
                 yield p, i, k
             if k:
                 continue
-            words = [(m.start(), m[0]) for m in _WORD.finditer(line)]
-            m = _LAST.search(line)
+            words = _WORD.findall(line)
+            m = _LAST.search(line) if line.rstrip().endswith("-") else None
             nxt = following(pages, at, i) if m and not m[1][-1].isdigit() else None
             first = _FIRST.match(nxt[0].lines[nxt[1]]) if nxt else None
             joined = None
@@ -344,14 +428,14 @@ def line_noise(pages: list[Page], vocabulary: Vocabulary):
             if joined is not None:
                 carried.add((id(nxt[0]), nxt[1]))
                 right = vocabulary.right(norm(joined))
-                if right and not vocabulary.n.get(norm(joined), 0) >= KNOWN:
+                if right and not vocabulary.count(norm(joined)) >= KNOWN:
                     # the wrong character stands before or after the break
                     here = norm(m[1])
                     if not right.startswith(here):
                         bad = True
                     if not right.endswith(norm(first[1])):
                         yield nxt[0], nxt[1], "misread"
-            bad = bad or any(vocabulary.right(norm(w)) for _, w in words)
+            bad = bad or any(w in wrong for w in words)
             if bad:
                 yield p, i, "misread"
 
@@ -375,12 +459,17 @@ def paragraphs(pages: list[Page], vocabulary: Vocabulary, own: set[int]):
     that page, as its first paragraph, so every line of running text is put out. ``pages`` must hold HALO + 1 pages around.
     """
     joins = {(id(p), i) for p, i, k in line_noise(pages, vocabulary) if k == "hyphen"}
-    lengths = sorted(len(x.rstrip()) for p in pages for x, k in zip(p.lines, p.kind) if k == "")
-    width = lengths[int(0.8 * (len(lengths) - 1))] if lengths else 0
-    indented = sum(x.startswith("  ") for p in pages for x, k in zip(p.lines, p.kind) if k == "") > 0.03 * max(1, len(lengths))
+    shares = {p.no: (sum(x.startswith("  ") for x, k in zip(p.lines, p.kind) if k == ""), sum(k == "" for k in p.kind)) for p in pages}
+
+    def indents(p: Page) -> bool:
+        near = [shares[n] for n in range(p.no - HALO, p.no + HALO + 1) if n in shares]
+        return sum(a for a, _ in near) > 0.03 * max(1, sum(b for _, b in near))
+
+    indent = {id(p): indents(p) for p in pages}
 
     def begins(p: Page, i: int) -> bool:
         line = p.lines[i]
+        indented = indent[id(p)]
         before = next((j for j in range(i - 1, -1, -1) if p.kind[j] not in ("running", "pagenum")), None)
         if before is None:
             return line.startswith("  ") or not line[:1].islower() and not indented and False
@@ -388,7 +477,7 @@ def paragraphs(pages: list[Page], vocabulary: Vocabulary, own: set[int]):
             return True
         if indented:
             return line.startswith("  ")
-        return p.kind[before] == "blank" and (len(prev := next((p.lines[j] for j in range(before, -1, -1) if p.kind[j] == ""), "").rstrip()) < 0.8 * width and prev.endswith((".", "!", "?", ":")))
+        return p.kind[before] == "blank" and (len(prev := next((p.lines[j] for j in range(before, -1, -1) if p.kind[j] == ""), "").rstrip()) < 0.8 * p.width and prev.endswith((".", "!", "?", ":")))
 
     place = {id(p): k for k, p in enumerate(pages)}
 
@@ -424,75 +513,98 @@ def paragraphs(pages: list[Page], vocabulary: Vocabulary, own: set[int]):
             yield p, number, out.strip()
 
 
-def _vocabulary(pages: DataFrame, text: str) -> tuple[Vocabulary, int]:
-    counts = page_counts(pages, text)
-    from ..tables import cut
-
-    counts = cut(counts)
-    total = counts.agg(F.sum("n")).collect()[0][0] or 0
-    rows = counts.where(F.col("n") >= max(2.0, total / HEAVY)).collect()
-    n = pages.count()
-    return Vocabulary({r[0]: r[1] for r in rows}), max(5, n // 2000)
-
+def scan_blocks(pages: DataFrame, page_id: str, scan: str, number: str, text: str, halo: int) -> tuple[DataFrame, DataFrame]:
+    """The different pages of each place, and the same with their blocks and salts; context pages come with ``own`` false.
 
-def scan_blocks(pages: DataFrame, page_id: str, scan: str, number: str, text: str, halo: int = HALO) -> DataFrame:
-    """Different pages of a place with their blocks and salts; context pages come with ``own`` false.
-
-    A block whose places hold more than ``CROWD`` different texts (one place scanned over and over, or pages without a
-    scan) is salted: each salt works its share of them, with the first text of every place around as context.
+    The context of a block is the first text of every place of it and of ``halo`` pages on either side. A block whose places
+    hold more than ``CROWD`` different texts is salted: each salt works its share of them with the whole context.
     """
-    slim = pages.where(F.col(text).isNotNull() & (F.length(text) > 0) & F.col(number).isNotNull()).select(F.col(scan).alias("scan"), F.col(number).alias("no"), F.col(text).alias("txt"), F.col(page_id).alias("page_id"))
-    places = slim.groupBy("scan", "no", F.xxhash64("txt").alias("h")).agg(F.min("page_id").alias("page_id"), F.max("txt").alias("txt"))
+    slim = pages.where(F.col(text).isNotNull() & (F.length(text) > 0) & F.col(number).isNotNull()).select(F.col(scan).alias("scan"), F.col(number).cast("int").alias("no"), F.col(text).alias("txt"), F.col(page_id).alias("page_id"))
+    places = written(slim.groupBy("scan", "no", F.xxhash64("txt").alias("h")).agg(F.min("page_id").alias("page_id"), F.max("txt").alias("txt")))
     home = F.floor(F.col("no") / BLOCK)
-    own = places.withColumn("block", home)
-    crowds = own.groupBy("scan", "block").agg(F.ceil(F.count("*") / CROWD).alias("salts"))
-    here = lambda d: d.join(crowds.withColumnsRenamed({"scan": "_s", "block": "_b"}), F.col("scan").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
-    worked = here(own).select("scan", "no", "h", "page_id", "txt", "block", F.pmod("h", "salts").alias("salt"), F.lit(True).alias("own"))
+    crowds = places.groupBy("scan", home.alias("block")).agg(F.ceil(F.count("*") / CROWD).alias("salts"))
+    named = crowds.withColumnsRenamed({"scan": "_s", "block": "_b"})
+    here = lambda d: d.join(named, F.col("scan").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     first = places.groupBy("scan", "no").agg(F.min(F.struct("page_id", "h", "txt")).alias("x")).select("scan", "no", "x.h", "x.page_id", "x.txt")
     near = F.array_distinct(F.array(home, F.floor((F.col("no") - halo) / BLOCK), F.floor((F.col("no") + halo) / BLOCK)))
-    context = here(first.withColumn("block", F.explode(near))).select("scan", "no", "h", "page_id", "txt", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("own"))
-    return worked.unionByName(context)
-
+    context = here(first.withColumn("block", F.explode(near))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    context = context.withColumn("own", (F.col("block") == home) & (F.col("salt") == F.pmod("h", "salts")))
+    others = places.join(first.select(F.col("scan").alias("_fs"), F.col("no").alias("_fn"), F.col("h").alias("_fh")), F.col("scan").eqNullSafe(F.col("_fs")) & (F.col("no") == F.col("_fn")) & (F.col("h") == F.col("_fh")), "left_anti")
+    others = here(others.withColumn("block", home)).withColumn("salt", F.pmod("h", "salts")).withColumn("own", F.lit(True))
+    columns = ["scan", "block", "salt", "no", "h", "txt", "own"]
+    return places, context.withColumn("first", F.lit(True)).select(*columns, "first").unionByName(others.withColumn("first", F.lit(False)).select(*columns, "first"))
+
+
+def _work(places: DataFrame, blocks: DataFrame, schema: str, rows) -> DataFrame:
+    """Rows of every own page by ``rows(pages around, own pages, vocabulary)``, group by group of sorted partitions."""
+    shared = blocks.sparkSession.sparkContext.broadcast(Vocabulary(count_sketch(places, "txt")))  # 2 * CELLS numbers
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+    def finish(group: list[tuple], out: list) -> None:
+        vocabulary = shared.value
+        made = [(Page(no, txt), scan, no, h, own, first) for scan, _, _, no, h, txt, own, first in group]
+        around = {no: p for p, _, no, _, _, first in made if first}
+        for p, *_ in made:
+            mark_edges(p, [around[n] for n in range(p.no - NEAR, p.no + NEAR + 1) if n != p.no and n in around], vocabulary)
+        context = sorted(around.values(), key=lambda p: p.no)
+        place = {id(p): (scan, no, h) for p, scan, no, h, _, _ in made}
+        chosen = [p for p, *_, own, first in made if own and first]
+        out += [(*place[id(p)], *r) for p, *r in rows(context, chosen, vocabulary)]
+        for p, *_, own, first in made:  # other texts of a place, each among the first texts around
+            if own and not first:
+                out += [(*place[id(p)], *r) for p, *r in rows([p if q.no == p.no else q for q in context if abs(q.no - p.no) < BLOCK], [p], vocabulary)]
+
+    def work(batches):
+        group: list[tuple] = []
+        out: list = []
+
+        def flush():
+            cols = list(zip(*out)) or [[]] * len(names)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, types[t.split()[1]]) for c, t in zip(cols, schema.split(", "))], names=names)
 
-def _work(blocks: DataFrame, pages: DataFrame, text: str, schema: str, rows) -> DataFrame:
-    vocabulary, common = _vocabulary(pages, text)
-    shared = blocks.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["no", "page_id", "own"], ascending=[True, True, False]).drop_duplicates(["no", "h"])
-        made = [Page(int(n), t) for n, t in zip(pdf["no"], pdf["txt"])]
-        mark_edges(made, shared.value, common)
-        ids = {id(p): x for p, x in zip(made, zip(pdf["scan"], pdf["no"], pdf["h"], pdf["own"]))}
-        return pd.DataFrame(rows(made, ids, shared.value), columns=[c.split()[0] for c in schema.split(", ")])
+        for b in batches:
+            for r in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
+                if group and group[-1][:3] != r[:3]:
+                    finish(group, out)
+                    group = []
+                    if len(out) > FLUSH // 10:
+                        yield flush()
+                group.append(r)
+        if group:
+            finish(group, out)
+        yield flush()
 
-    return blocks.groupBy("scan", "block", "salt").applyInPandas(work, schema)
+    keys = ["scan", "block", "salt"]
+    return blocks.repartition(*keys).sortWithinPartitions(*keys, "no", F.desc("first"), "h").mapInArrow(work, schema)
 
 
 def _back(found: DataFrame, pages: DataFrame, page_id: str, scan: str, number: str, text: str) -> DataFrame:
     """Results of the different pages, for every page that has this place and text."""
-    every = pages.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(page_id).alias("page_id"), F.col(scan).alias("scan"), F.col(number).alias("no"), F.xxhash64(text).alias("h"))
+    every = pages.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(page_id).alias("page_id"), F.col(scan).alias("scan"), F.col(number).cast("int").alias("no"), F.xxhash64(text).alias("h"))
     return every.join(found, on=[every["scan"].eqNullSafe(found["scan"]), every["no"] == found["no"], every["h"] == found["h"]]).drop(found["scan"]).drop(found["no"]).drop(found["h"])
 
 
 def noise_lines(pages: DataFrame, page_id: str = "page_id", scan: str = "file_id", number: str = "page_no", text: str = "txt") -> DataFrame:
     """(page_id, line_no, noise_kind) of every noisy line."""
 
-    def rows(made, ids, vocabulary):
-        found = {(*ids[id(p)], i + 1, k) for p, i, k in line_noise(made, vocabulary)}
-        return [(s, n, h, i, k) for s, n, h, own, i, k in found if own]
+    def rows(around, own, vocabulary):
+        mine = {id(p) for p in own}
+        return sorted({(p, i + 1, k) for p, i, k in line_noise(around, vocabulary) if id(p) in mine}, key=lambda r: (r[0].no, *r[1:]))
 
-    blocks = scan_blocks(pages, page_id, scan, number, text)
-    found = _work(blocks, pages, text, "scan bigint, no int, h bigint, line_no int, noise_kind string", rows)
+    places, blocks = scan_blocks(pages, page_id, scan, number, text, NEAR + 2)
+    found = _work(places, blocks, "scan bigint, no int, h bigint, line_no int, noise_kind string", rows)
     return _back(found, pages, page_id, scan, number, text).select("page_id", "line_no", "noise_kind")
 
 
 def repaired_paragraphs(pages: DataFrame, page_id: str = "page_id", scan: str = "file_id", number: str = "page_no", text: str = "txt") -> DataFrame:
     """(page_id, par_no, text): paragraphs of running text, at the page where they begin; what follows HALO further pages, page by page."""
 
-    def rows(made, ids, vocabulary):
-        own = {k for k, p in enumerate(made) if ids[id(p)][3]}
-        return [(*ids[id(p)][:3], n, t) for p, n, t in paragraphs(made, vocabulary, own)]
+    def rows(around, own, vocabulary):
+        mine = {id(p) for p in own}
+        return list(paragraphs(around, vocabulary, {k for k, p in enumerate(around) if id(p) in mine}))
 
-    blocks = scan_blocks(pages, page_id, scan, number, text, HALO + 1)
-    found = _work(blocks, pages, text, "scan bigint, no int, h bigint, par_no int, text string", rows)
+    places, blocks = scan_blocks(pages, page_id, scan, number, text, 2 * HALO + 1 + NEAR)
+    found = _work(places, blocks, "scan bigint, no int, h bigint, par_no int, text string", rows)
     return _back(found, pages, page_id, scan, number, text).select("page_id", "par_no", "text")
