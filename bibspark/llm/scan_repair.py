@@ -59,17 +59,28 @@ MISREADINGS = (
 _PAIRS = [tuple(x.split(":")) for x in MISREADINGS]
 
 _WORD = re.compile(r"[!|]?[^\W_]+(?:[!|][^\W_]+)*")
-_LETTERS = re.compile(r"[^\W\d_]+")
+_GAP = re.compile(r"\s{2,}")
 _INNER = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)+")
 _DIGIT = re.compile(r"\d")
-_BROKEN = re.compile(r"\S+-[^\S\n]*\n\s*\S+")
 _HEADING = re.compile(r"\s*(?:\d+(?:\.\d+)*\.?\s+[^\W\d_]\S*(?:\s+\S+){0,4}|[^\W\d_]+\s+[\dlIOZSB]{1,3}\.?)\s*")
 _LAST = re.compile(r"([^\W_]+(?:[!|][^\W_]+)*)-\s*$")
 _FIRST = re.compile(r"\s*([^\W_]+(?:[!|][^\W_]+)*)")
 
 
 def norm(word: str) -> str:
-    return _DIGIT.sub("9", word.lower())
+    return word.lower() if word.isalpha() else _DIGIT.sub("9", word.lower())
+
+
+_RUN = re.compile(r"[\w!|]+")
+_SIGN = re.compile(r"[!|_]")
+
+
+def words_of(line: str) -> list[str]:
+    """All of ``_WORD``; runs without the rarer signs are words as they are."""
+    runs = _RUN.findall(line)
+    if not _SIGN.search(line):
+        return runs
+    return [w for r in runs for w in ((r,) if r.isalnum() else _WORD.findall(r))]
 
 
 @lru_cache(maxsize=FLUSH)
@@ -84,7 +95,10 @@ def alike(a: frozenset[str], b: frozenset[str], share: float) -> bool:
 
 
 def is_table(line: str) -> bool:
-    cells = re.split(r"\s{2,}", line.strip())
+    line = line.strip()
+    if not _GAP.search(line):
+        return False
+    cells = _GAP.split(line)
     return len(cells) > 2 or len(cells) == 2 and sum(c.isdigit() for c in line) > 2 and not re.search(r"[^\W\d_]{4}", line)
 
 
@@ -93,28 +107,45 @@ def _cells(sym: str) -> tuple[int, int]:
     return h & (CELLS - 1), CELLS + (h >> 11)
 
 
-def pairs_of(words: list[str]) -> list[str]:
-    """Neighbouring words of a line, its ends included."""
-    return [f"{a} {b}" for a, b in pairwise(["", *words, ""])] if words else []
-
-
 EDGE_LINES, INNER_LINES = ">", "<"
 
 
-def count_page(text: str, c: Counter) -> None:
-    """Words, ``-`` words hyphenated inside a line, ``>`` pairs of words at edges and ``<`` elsewhere, of one page."""
-    low = _DIGIT.sub("9", text.lower())
-    whole = _BROKEN.sub(" ", low) if "-" in low else low
-    c.update(_WORD.findall(whole))
-    if "-" in whole:
-        c.update("-" + m for m in _INNER.findall(whole))
-    lines = [x for x in low.split("\n") if x and not x.isspace()]
-    for x in lines[2:-2]:
-        c.update(["<" + p for p in pairs_of(_LETTERS.findall(x))])
-    edge = {p for x in {*lines[:2], *lines[-2:]} for p in pairs_of(_LETTERS.findall(x))}
-    c.update([">" + p for p in edge])
-    c[EDGE_LINES] += min(4, len(lines))
-    c[INNER_LINES] += max(0, len(lines) - 4)
+class Counts:
+    """Words, words hyphenated inside a line, and pairs of neighbouring words of lines at page edges and of others."""
+
+    def __init__(self):
+        self.words: Counter = Counter()
+        self.edge: Counter = Counter()
+        self.inner: Counter = Counter()
+
+    def add(self, text: str) -> None:
+        lines = [x for x in _DIGIT.sub("9", text.lower()).split("\n") if x and not x.isspace()]
+        found = [words_of(x) for x in lines]
+        whole: list[str] = []
+        pairs: list[tuple[str, str]] = []
+        for i, (x, w) in enumerate(zip(lines, found)):
+            if w and 1 < i < len(lines) - 2:
+                pairs += pairwise(["", *w, ""])
+            if "-" in x:
+                self.words.update(["-" + m for m in _INNER.findall(x)])
+                if w and x.rstrip().endswith("-"):
+                    w = w[:-1]
+            if i and w and lines[i - 1].rstrip().endswith("-"):
+                w = w[1:]
+            whole += w
+        self.words.update(whole)
+        self.inner.update(pairs)
+        self.edge.update({p for w in (*found[:2], *found[2:][-2:]) if w for p in pairwise(["", *w, ""])})
+        self.words[EDGE_LINES] += min(4, len(lines))
+        self.words[INNER_LINES] += max(0, len(lines) - 4)
+
+    def __len__(self) -> int:
+        return len(self.words) + len(self.edge) + len(self.inner)
+
+    def symbols(self):
+        yield from self.words.items()
+        yield from ((f"{EDGE_LINES}{a} {b}", n) for (a, b), n in self.edge.items())
+        yield from ((f"{INNER_LINES}{a} {b}", n) for (a, b), n in self.inner.items())
 
 
 def count_sketch(pages: DataFrame, text: str) -> np.ndarray:
@@ -123,20 +154,20 @@ def count_sketch(pages: DataFrame, text: str) -> np.ndarray:
 
     def count(batches):
         table = np.zeros(2 * CELLS, np.int64)
-        c: Counter = Counter()
+        c = Counts()
 
         def add():
-            for sym, n in c.items():
+            for sym, n in c.symbols():
                 a, b = _cells(sym)
                 table[a] += n
                 table[b] += n
-            c.clear()
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                count_page(t, c)
+                c.add(t)
                 if len(c) > FLUSH:
                     add()
+                    c = Counts()
         add()
         parts = [(k, table[k * size : (k + 1) * size]) for k in range(PARTS)]
         at = [np.flatnonzero(x) for _, x in parts]
@@ -179,9 +210,9 @@ class Vocabulary:
         self._setup()
 
     @classmethod
-    def of(cls, counts: dict[str, int]) -> Vocabulary:
+    def of(cls, counts: Counts) -> Vocabulary:
         sketch = np.zeros(2 * CELLS, np.int32)
-        for sym, n in counts.items():
+        for sym, n in counts.symbols():
             for k in _cells(sym):
                 sketch[k] += n
         return cls(sketch)
@@ -198,12 +229,12 @@ class Vocabulary:
 
     def lines(self, line: str) -> tuple[float, float]:
         """Part of a line's pairs of words that recur at edges rather than inside pages, and inside rather than at edges."""
-        words = [norm(w) for w in _WORD.findall(line)]
-        words = [w for w in (self.right(w) or w for w in words) if w.isalpha()]
+        words = [norm(w) for w in words_of(line)]
+        words = [self.right(w) or w for w in words]
         edgy = inner = 0
-        pairs = pairs_of(words)
-        for p in pairs:
-            e, i = self.count(">" + p), self.count("<" + p)
+        pairs = list(pairwise(["", *words, ""])) if words else []
+        for a, b in pairs:
+            e, i = self.count(f"{EDGE_LINES}{a} {b}"), self.count(f"{INNER_LINES}{a} {b}")
             edgy += e >= OFTEN and e * self.spread > EDGY * i
             inner += i >= OFTEN and e * self.spread < EDGY * i / 2
         return edgy / max(1, len(pairs)), inner / max(1, len(pairs))
@@ -330,13 +361,16 @@ class Page:
         full = [i for i, k in enumerate(self.kind) if not k]
         self.edges = full[:4], full[::-1][:4]
         self.grams = [[edge_grams(self.lines[i]) for i in e] for e in self.edges]
-        lengths = sorted(len(self.lines[i].rstrip()) for i in full)
+        self.numbers: set[int] | None = None
+        lengths = sorted([len(self.lines[i].rstrip()) for i in full])
         self.width = lengths[int(0.8 * (len(lengths) - 1))] if lengths else 0
 
 
 def printed_numbers(p: Page) -> set[int]:
     """Numbers at the page's edges that stand alone or at the end or beginning of a line."""
-    out = set()
+    if p.numbers is not None:
+        return p.numbers
+    out = p.numbers = set()
     for edge in p.edges:
         for i in edge[:2]:
             words = p.lines[i].split()
@@ -367,7 +401,7 @@ def mark_edges(p: Page, near: list[Page], vocabulary: Vocabulary) -> None:
             if not numbered and with_number(line, number):
                 p.kind[i], numbered = "running", True
                 continue
-            if is_table(line) or _HEADING.fullmatch(line):
+            if is_table(line) or len(line) < 90 and _HEADING.fullmatch(line):
                 break
             grams = p.grams[side][rank]
             edgy, inner = vocabulary.lines(line)
@@ -376,9 +410,12 @@ def mark_edges(p: Page, near: list[Page], vocabulary: Vocabulary) -> None:
                 p.kind[i] = "running"
                 continue
             break
+    short = 0.7 * max(p.width, 30)
     for i, k in enumerate(p.kind):
-        if k == "" and (is_table(p.lines[i]) or _HEADING.fullmatch(p.lines[i]) and len(p.lines[i].strip()) < 0.7 * max(p.width, 30) and not p.lines[i].strip().endswith(("-", ","))):
-            p.kind[i] = "other"
+        if k == "":
+            s = p.lines[i].strip()
+            if ("  " in s or "\t" in s) and is_table(s) or len(s) < short and s[-1] not in "-," and _HEADING.fullmatch(s):
+                p.kind[i] = "other"
 
 
 def following(pages: list[Page], at: int, line: int, skip: int = 0) -> tuple[Page, int] | None:
@@ -400,7 +437,8 @@ def following(pages: list[Page], at: int, line: int, skip: int = 0) -> tuple[Pag
 def line_noise(pages: list[Page], vocabulary: Vocabulary):
     """(page, line, kind) of all noise, and the joins of hyphenated words."""
     carried: set[tuple[int, int]] = set()  # lines that begin with the rest of a word
-    wrong = {w for p in pages for w in {w for i, k in enumerate(p.kind) if not k for w in _WORD.findall(p.lines[i])} if vocabulary.right(norm(w))}
+    words_at = {id(p): [words_of(x) if not k else [] for x, k in zip(p.lines, p.kind)] for p in pages}
+    wrong = {w for w in {w for lines in words_at.values() for words in lines for w in words} if vocabulary.right(norm(w))}
     for at, p in enumerate(pages):
         if not any(q.no == p.no - 1 for q in pages) and (body := [i for i, k in enumerate(p.kind) if k == ""]) and p.lines[body[0]][:1].islower():
             carried.add((id(p), body[0]))
@@ -410,7 +448,7 @@ def line_noise(pages: list[Page], vocabulary: Vocabulary):
                 yield p, i, k
             if k:
                 continue
-            words = _WORD.findall(line)
+            words = words_at[id(p)][i]
             m = _LAST.search(line) if line.rstrip().endswith("-") else None
             nxt = following(pages, at, i) if m and not m[1][-1].isdigit() else None
             first = _FIRST.match(nxt[0].lines[nxt[1]]) if nxt else None
@@ -435,7 +473,7 @@ def line_noise(pages: list[Page], vocabulary: Vocabulary):
                         bad = True
                     if not right.endswith(norm(first[1])):
                         yield nxt[0], nxt[1], "misread"
-            bad = bad or any(w in wrong for w in words)
+            bad = bad or not wrong.isdisjoint(words)
             if bad:
                 yield p, i, "misread"
 
