@@ -10,7 +10,8 @@
    from the page's place; a line at an edge that reads as that number, decorated or misread, is a page number.
 4. Running headers and footers: an edge line that recurs, by trigrams of its letters, at the same edge of a page near by;
    or many of whose pairs of words recur at page edges of the corpus far more often than inside pages; or that carries the
-   page number. A line whose pairs of words are those of running text must recur nearly whole.
+   page number. A line whose pairs of words are those of running text must recur nearly whole, and one that begins in
+   lower case, as the rest of a sentence does, must recur both ways and be shorter than a full line.
 5. A word is misread if a usual misreading of a far more frequent word explains it. A hyphen at the end of a line is
    no part of the word if the joined word is known and more usual than the hyphenated one.
 6. Lines that remain are joined to paragraphs, over page breaks.
@@ -406,7 +407,11 @@ def mark_edges(p: Page, near: list[Page], vocabulary: Vocabulary) -> None:
             grams = p.grams[side][rank]
             edgy, inner = vocabulary.lines(line)
             share = ALIKE if inner < MOST else SAME
-            if edgy >= max(MOST, inner) or any(alike(grams, g, share) for q in near for g in q.grams[side]):
+            goes_on = line.lstrip()[:1].islower()
+            typical = edgy >= max(MOST, inner)
+            if goes_on and (not typical or len(line) >= 0.8 * p.width):
+                break
+            if typical and not goes_on or any(alike(grams, g, share) for q in near for g in q.grams[side]):
                 p.kind[i] = "running"
                 continue
             break

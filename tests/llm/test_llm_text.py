@@ -146,12 +146,64 @@ def test_crowded_place(spark):
     body = "\n".join([SENT[:46], SENT[46:]] * 3)
     rows = [(i, None, 5, f"WATER LEDGER\n{body}\nnumber {i} of the {'ab' * (i % 7)} records and the sum\n\n- 5 -") for i in range(1500)] + [(2000, None, 6, f"WATER LEDGER\n{body}\n\n6"), (2001, 7, None, "x")]
     d = spark.createDataFrame(rows, "page_id long, file_id long, page_no int, txt string")
-    blocks = scan_repair.scan_blocks(d, "page_id", "file_id", "page_no", "txt")
+    _, blocks = scan_repair.scan_blocks(d, "page_id", "file_id", "page_no", "txt", scan_repair.NEAR + 2)
     assert blocks.groupBy("scan", "block", "salt").count().agg(F.max("count")).collect()[0][0] < 700
     got = scan_repair.noise_lines(d).where("noise_kind in ('running', 'pagenum')").groupBy("page_id").count().collect()
     assert len(got) == 1501 and {r["count"] for r in got} == {2}
 
 
+def _noise(spark, pages):
+    d = spark.createDataFrame(pages, "page_id long, file_id long, page_no int, txt string")
+    return {tuple(r) for r in scan_repair.noise_lines(d).collect()}
+
+
+def _varied(no, head, foot, words=60):
+    """A page of words that occur nowhere else, between a header and a footer."""
+    r = np.random.default_rng(no)
+    word = lambda: "".join(r.choice(list("aeioubdklmnprst"), 7))
+    return "\n".join([head, *(" ".join(word() for _ in range(8)) for _ in range(words // 8)), foot])
+
+
+def test_repetition_decides(spark, monkeypatch):
+    """Headers come by their repetition: without it none is found, and equal pages give equal rows in a larger corpus."""
+    pages = [(100 * f + no, f, no, _varied(100 * f + no, "Notes of the Coast" if no % 2 else f"Report {'abcdefghij'[f] * 9}", f"- {no} -")) for f in range(6) for no in range(20, 26)]
+    got = _noise(spark, pages)
+    assert {r for r in got if r[2] == "running"} == {(p, 1, "running") for p, *_ in pages}
+    assert {r for r in got if r[2] == "pagenum"} == {(p, 9, "pagenum") for p, *_ in pages}
+    more = [(10_000 * k + p, f, no, t) for k in range(1, 10) for p, f, no, t in pages]
+    assert {r for r in _noise(spark, pages + more) if r[0] < 10_000} == got
+    counts = scan_repair.Counts()
+    for *_, t in pages:
+        counts.add(t)
+    vocabulary = scan_repair.Vocabulary.of(counts)
+
+    def running():
+        made = [scan_repair.Page(no, t) for _, f, no, t in pages if f == 1]
+        for p in made:
+            scan_repair.mark_edges(p, [q for q in made if q is not p], vocabulary)
+        return sum(k == "running" for p in made for k in p.kind)
+
+    assert running() == 6
+    for name in ("ALIKE", "SAME", "MOST"):
+        monkeypatch.setattr(scan_repair, name, 2.0)
+    assert running() == 0
+
+
+def test_printed_numbers_in_sequence(spark):
+    """Printed numbers may run apart from the places of the pages."""
+    pages = [(no, 1, no, _varied(no, f"Opening {no}x", str(no + 340))) for no in range(3, 9)] + [(50, 2, 4, _varied(50, "Lone", "344"))]
+    got = {r for r in _noise(spark, pages) if r[2] == "pagenum"}
+    assert got == {(no, 9, "pagenum") for no in range(3, 9)}
+
+
+def test_blocks_change_no_row(spark, monkeypatch):
+    pages = [(no, 1, no, _varied(no % 7, "NOTES OF THE COAST" if no % 2 else "A long title of a paper", f"{no}")) for no in range(1, 60)]
+    one = _noise(spark, pages)
+    monkeypatch.setattr(scan_repair, "BLOCK", 5)
+    monkeypatch.setattr(scan_repair, "CROWD", 1)
+    assert _noise(spark, pages) == one
+
+
 @pytest.mark.parametrize("line, page, yes", [("12", 12, True), ("- 12 -", 12, True), ("[l2]", 12, True), ("Page 12", 12, True), ("xii", 12, True), ("xi1", 12, True), ("12 13", 12, False), ("summer", 12, False), ("1l7", 117, True)])
 def test_page_number(line, page, yes):
     assert scan_repair.is_page_number(line, page) == yes
