@@ -5,13 +5,14 @@ dialect whose delimiters occur in it; a parse costs the code lengths of its item
 dialect, and the cheapest parse wins. Code lengths come from one distributed counting pass:
 
 * every item (up to ``DICT_CHARS`` characters) that any candidate parse produces is counted, and costs
-  ``-log2(n/N)`` plus its own spelling shared over its ``n`` uses (a two-part code);
+  ``-log2(n/N)`` plus its own spelling shared over its uses among ``HEAVY`` items (a two-part code);
 * an item outside the dictionary is spelled out: the code of its *shape* (letters, digits and path runs
   reduced to one symbol each) plus ``CHAR_BITS`` for every character.
 
 The dictionary holds symbols with ``n >= N / HEAVY`` only, hence at most ``HEAVY`` entries of bounded length
 per field and kind: its size on the driver and in a broadcast is bounded whatever the input. Rarer items are
-spelled out, so no value is dropped or capped.
+spelled out, so no value is dropped or capped. Codes depend on shares alone: the same values in the same shares are
+parsed in the same way at every size.
 
 Defined results: a null, empty or blank value has no items; empty items do not count; repeated items do;
 a value without delimiters is one item; extra columns of the input do not take part.
@@ -214,8 +215,8 @@ class Codes:
         for (f, s), n in counts.items():
             total = max(totals.get((f, s[0]), n), n, 2)
             own = (CHAR_BITS if s[0] == "=" else SHAPE_BITS) * len(s)
-            self.bits[f, s] = -math.log2(n / total) + own / n
-        self.escape = {k: math.log2(max(2, v)) for k, v in totals.items()}
+            self.bits[f, s] = -math.log2(n / total) + own * total / (n * HEAVY)
+        self.escape = {k: math.log2(HEAVY) for k in totals}
         # dialects, given the kinds of delimiter that a value holds
         self.seen: dict[tuple[str, str], int] = {}
         self.used = {k: n for k, n in counts.items() if k[1][0] == "@"}
@@ -241,7 +242,7 @@ class Codes:
         total = self.seen.get((f, "@" + present))
         if total is None:
             return 2.0 * len(kinds)
-        return -math.log2((self.used.get((f, f"@{present}>{kinds}"), 0) + 0.25) / (total + 1)) + 0.01 * len(kinds)
+        return -math.log2(self.used.get((f, f"@{present}>{kinds}"), 0) / total + 0.25 / HEAVY) + 0.01 * len(kinds)
 
     def dialect(self, f: str, whole: str) -> str:
         """Cheapest dialect of a shape; a form that this value has used already costs one bit."""
@@ -370,9 +371,9 @@ def _heavy(counts: DataFrame) -> tuple[dict, dict]:
     """Symbols with a share of 1/HEAVY or more of their field and kind, and the totals."""
     kind = F.substring("sym", 1, 1)
     totals = {(r[0], r[1]): r[2] for r in counts.groupBy("field", kind).agg(F.sum("n")).collect()}
-    least = F.lit(2.0)
+    least = F.lit(0.0)
     for (f, k), n in totals.items():
-        least = F.when((F.col("field") == f) & (kind == k), F.greatest(F.lit(2.0), F.lit(n / HEAVY))).otherwise(least)
+        least = F.when((F.col("field") == f) & (kind == k), F.lit(n / HEAVY)).otherwise(least)
     return {(r[0], r[1]): r[2] for r in counts.where(F.col("n") >= least).select("field", "sym", "n").collect()}, totals
 
 
