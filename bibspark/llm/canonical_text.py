@@ -168,8 +168,8 @@ def canonical(text: str) -> str:
 
 
 def suspect(c: Column) -> Column:
-    """Quick check in the JVM: true where the text may hold another form."""
-    return F.coalesce(c.rlike(_JAVA) | c.rlike(_MIXED), F.lit(False))
+    """Quick check in the JVM: true where the text may hold another form; every suspect character is beyond ASCII."""
+    return F.coalesce((F.octet_length(c) != F.char_length(c)) & (c.rlike(_JAVA) | c.rlike(_MIXED)), F.lit(False))
 
 
 @F.pandas_udf(StringType())

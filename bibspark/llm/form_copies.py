@@ -2,11 +2,12 @@
 
 1. Every record gets its canonical key (letters and digits, case folded). Each task counts its own keys in a trie
    with terminal counters, so that a group of copies shrinks to one row a task before anything is shuffled.
+   A trie is put out after ``FLUSH`` records, so that neither it nor the members of a hot key grow with the task.
 2. The rows are split into buckets by key prefix. A bucket above ``BUCKET_ROWS`` is split again by further bytes
-   (twice as many as before) until every bucket fits; only prefixes of oversized buckets reach the driver, of
-   which there are at most rows / BUCKET_ROWS. Rows of one key cannot be split further, but there is at most one
-   a task.
-3. Each bucket is counted in its own trie; the result goes back to the members by the number of the local row,
+   (twice as many as before) until every bucket fits; the prefixes of oversized buckets stay a distributed table that
+   is joined back. Rows of one key cannot be split further, but there is one for FLUSH records at most.
+3. Rows come to a task bucket by bucket, and each bucket is counted in its own trie, which goes before the next one
+   comes; the result goes back to the members by the number of the local row,
    which is unique, so that no group is ever gathered in one task.
 
 Defined results: absent equals empty; records whose fields hold no letter or digit are copies of each other;
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import written
+from ..tables import cut, written
 
 BUCKET_ROWS = 50_000
 STRIDE = 16
@@ -99,53 +100,71 @@ def _count_locally(batches):
             names=["row", "key", "n", "first", "members"],
         )
 
+    held = 0
     for b in batches:
         for i, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             trie.add(k, 1, i, i)
-        if trie.size > FLUSH:
-            yield flush()
-            trie = Trie()
+            held += 1
+            if held == FLUSH:
+                yield flush()
+                trie, held = Trie(), 0
     yield flush()
 
 
-def radix_buckets(rows: DataFrame, limit: int = BUCKET_ROWS) -> Column:
-    """Bucket of each row of ``rows`` (column ``key``): its shortest prefix whose bucket fits."""
-    depth, inside, levels = 1, F.lit(True), []
+def radix_buckets(rows: DataFrame, limit: int = BUCKET_ROWS) -> DataFrame:
+    """``rows`` (with a column ``key``) and the bucket of each: its shortest prefix whose bucket fits.
+
+    The prefixes of oversized buckets are a distributed table, joined back to the rows; a bucket that only rows of
+    one key fill ends with this key.
+    """
+    depth = 1
+    open_, closed = rows, None
     while True:
         prefix = F.substring("key", 1, depth)
-        big = [r[0] for r in rows.where(inside & (F.length("key") >= depth)).groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).where(F.col("n") > limit).select("p").collect()]
-        if not big:
-            break
-        inside = prefix.isin([bytes(x) for x in big])
-        levels.append((depth, inside))
+        big = cut(open_.where(F.length("key") >= depth).groupBy(prefix.alias("_p")).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("_p"))
+        if big.isEmpty():
+            done = open_.withColumn("bucket", prefix)
+            return done if closed is None else closed.unionByName(done)
+        joined = open_.withColumn("_q", prefix).join(big, (F.col("_q") == F.col("_p")) & (F.length("key") >= depth), "left")
+        fits = joined.where("_p is null").withColumn("bucket", F.col("_q")).drop("_p", "_q")
+        closed = fits if closed is None else closed.unionByName(fits)
+        open_ = joined.where("_p is not null").drop("_p", "_q")
         depth *= 2
-    bucket = F.substring("key", 1, depth)
-    for d, over in reversed(levels):
-        bucket = F.when(over, bucket).otherwise(F.substring("key", 1, d))
-    return bucket
 
 
-def _count_buckets(batches):
-    tries: dict[bytes, Trie] = {}
-    ids: list[str] = []
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    """Rows of a bucket in one task, one bucket after the other."""
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _tries(batches, columns: int):
+    """(trie, labels) of each bucket of sorted rows (bucket, key, n, first, label ...); one bucket is held at a time."""
+    trie, bucket, labels = None, None, []
     for b in batches:
-        for bucket, row, key, n, first in zip(*(b.column(i).to_pylist() for i in range(5))):
-            t = tries.get(bucket)
-            if t is None:
-                t = tries[bucket] = Trie(len(bucket))
-            t.add(key, n, first, len(ids))
-            ids.append(row)
-    for t in tries.values():
+        for row in zip(*(b.column(i).to_pylist() for i in range(columns))):
+            if row[0] != bucket:
+                if trie is not None:
+                    yield trie, labels
+                trie, bucket, labels = Trie(len(row[0])), row[0], []
+            trie.add(row[1], row[2], row[3], len(labels))
+            labels.append(row[4] if columns > 4 else None)
+    if trie is not None:
+        yield trie, labels
+
+
+def _count_buckets(batches):
+    for t, ids in _tries(batches, 5):
         out = [(ids[r], first, n) for _, n, first, rows in t.terminals() if n > 1 for r in rows]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], names=["row", "first", "copies"])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], names=["row", "first", "copies"])
 
 
 def form_copies(df: DataFrame, key: str, parts: list[Column], limit: int = BUCKET_ROWS) -> DataFrame:
     """(first, key, copies): the other members of every group of copies, with the group's smallest key and size."""
     text = F.concat_ws("\x1f", *parts)
     local = written(df.select(F.col(key).cast("long").alias("id"), F.encode(text, "UTF-8").alias("key")).mapInArrow(_count_locally, _LOCAL))
-    rows = local.select("row", "key", "n", "first")
-    counted = rows.select(radix_buckets(rows.select("key"), limit).alias("bucket"), "row", "key", "n", "first").repartition("bucket").mapInArrow(_count_buckets, "row string, first long, copies long")
+    rows = radix_buckets(local.select("row", "key", "n", "first"), limit).select("bucket", "key", "n", "first", "row")
+    counted = _by_bucket(rows).mapInArrow(_count_buckets, "row string, first long, copies long")
     members = counted.join(local.select("row", "members"), "row").select("first", "copies", F.explode("members").alias(key))
     return members.where(F.col(key) != F.col("first")).select("first", key, "copies")
 
@@ -154,14 +173,10 @@ def copy_counts(df: DataFrame, key: str, parts: list[Column], limit: int = BUCKE
     """(first, copies): one row for each different record, with the number of its copies (itself included)."""
     text = F.concat_ws("\x1f", *parts)
     local = written(df.select(F.col(key).cast("long").alias("id"), F.encode(text, "UTF-8").alias("key")).mapInArrow(_count_locally, _LOCAL).drop("members"))
-    rows = local.select(radix_buckets(local.select("key"), limit).alias("bucket"), "row", "key", "n", "first").repartition("bucket")
+    rows = _by_bucket(radix_buckets(local.select("key", "n", "first"), limit).select("bucket", "key", "n", "first"))
 
     def count(batches):
-        tries: dict[bytes, Trie] = {}
-        for b in batches:
-            for bucket, k, n, first in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4))):
-                tries.setdefault(bucket, Trie(len(bucket))).add(k, n, first, 0)
-        for t in tries.values():
+        for t, _ in _tries(batches, 4):
             out = list(t.terminals())
             yield pa.RecordBatch.from_arrays([pa.array([x[2] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["first", "copies"])
 

@@ -41,8 +41,8 @@ def p2_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _survivors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     bib, links = read(spark, sf_dir, "bib_entry"), read(spark, sf_dir, "dup_link").distinct()
-    members = bib.join(links, "rec_id")
-    slim = members.select("group_no", "rec_id", "trust", "modified_ts", _value("doi").alias("doi"), _value("file").alias("file"), _value("keywords").alias("keywords"))
+    values = bib.select("rec_id", "trust", "modified_ts", _value("doi").alias("doi"), _value("file").alias("file"), _value("keywords").alias("keywords"))
+    slim = values.join(links, "rec_id").select("group_no", "rec_id", "trust", "modified_ts", "doi", "file", "keywords")
     fields = P.bib_fields("file", "keywords")
     codes = P.fit(bib, fields)
     counted = P.count_items(slim, ["group_no", "rec_id", "trust", "modified_ts", "doi"], {"file": F.col("file"), "keywords": F.col("keywords")}, codes)

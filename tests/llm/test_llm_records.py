@@ -75,6 +75,31 @@ def test_bare_doi(spark, doi, bare):
     assert d.select(form_copies.bare_doi(F.col("x")).alias("y")).collect()[0]["y"] == bare
 
 
+def test_memory_of_one_bucket():
+    """However many buckets a task gets, it holds one; a hot key's members go out after every FLUSH records."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def batches(buckets, rows=500):
+        for b in range(buckets):
+            key = b"%05d" % b
+            yield pa.RecordBatch.from_pydict({"bucket": [key] * rows, "key": [key + b"%06d" % (i // 2) + b"x" * 50 for i in range(rows)], "n": [1] * rows, "first": list(range(rows)), "row": [f"{b}-{i}" for i in range(rows)]})
+
+    def peak(buckets):
+        tracemalloc.start()
+        n = sum(x.num_rows for x in form_copies._count_buckets((x.select(["bucket", "row", "key", "n", "first"]).select(["bucket", "key", "n", "first", "row"]) for x in batches(buckets))))
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n, top
+
+    (few, low), (many, high) = peak(20), peak(200)
+    assert few == 20 * 500 and many == 200 * 500 and high < 1.5 * low
+    hot = (pa.RecordBatch.from_pydict({"id": list(range(a, a + 10_000)), "key": [b"same"] * 10_000}) for a in range(0, 250_000, 10_000))
+    lists = [len(m) for b in form_copies._count_locally(hot) for m in b.column(4).to_pylist()]
+    assert sum(lists) == 250_000 and max(lists) <= form_copies.FLUSH
+
+
 # --- names --------------------------------------------------------------------------------------------------------
 REGISTRY = [(1, "Veskanovski", "Rosa", False), (2, "Veskanovski", "Edward", False), (3, "de la Obrumbwick", "Oskar", False), (4, "Ströbelcombe", "Anthony H.", False), (5, "Joruhuber", "Jürgen-Luc K.", False), (6, "Laboratory for Reference Keeping Val", None, True), (7, "Society of Ice and Snow, Étang", None, True), (8, "Kolerdgaard", "Robert", False)]
 NAMES = {
