@@ -80,6 +80,8 @@ def _tables() -> tuple[dict[str, str], str]:
 SIMPLE, _SPANS = _tables()
 UNSTABLE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _SPANS) + "]")
 _JAVA = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _SPANS) + "]"
+# suspect letters below U+0300 are few; all others are above
+_FAR = "[" + "".join(f"\\x{{{a:x}}}-\\x{{{min(b, 0x2FF):x}}}" for a, b in _SPANS if a < 0x300) + "\\x{300}-\\x{10ffff}]"
 _MIXED = r"(?s)^(?=.*[\p{IsGreek}\p{IsCyrillic}])(?=.*[\p{IsLatin}\x{ff21}-\x{ff5a}])"
 _SEGMENT = re.compile(r"[^\x00-\x20!-/:-@\[-`{-\x7f]+")
 _WORD = re.compile(r"[^\W_][^\W_\u0300-\u036f]*(?:[\u0300-\u036f]+[^\W_\u0300-\u036f]*)*")
@@ -168,8 +170,9 @@ def canonical(text: str) -> str:
 
 
 def suspect(c: Column) -> Column:
-    """Quick check in the JVM: true where the text may hold another form; every suspect character is beyond ASCII."""
-    return F.coalesce((F.octet_length(c) != F.char_length(c)) & (c.rlike(_JAVA) | c.rlike(_MIXED)), F.lit(False))
+    """Quick check in the JVM: true where the text may hold another form; every suspect character is beyond ASCII,
+    and most are beyond the Latin letters, which a short pattern tells."""
+    return F.coalesce((F.octet_length(c) != F.char_length(c)) & c.rlike(_FAR) & (c.rlike(_JAVA) | c.rlike(_MIXED)), F.lit(False))
 
 
 @F.pandas_udf(StringType())

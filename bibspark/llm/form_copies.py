@@ -27,6 +27,8 @@ from ..tables import cut, written
 BUCKET_ROWS = 50_000
 STRIDE = 16
 FLUSH = 100_000
+#: so many prefixes of oversized buckets may be broadcast; more are joined by a shuffle
+BROADCAST = 50_000
 
 
 def canonical_letters(c: Column) -> Column:
@@ -122,10 +124,11 @@ def radix_buckets(rows: DataFrame, limit: int = BUCKET_ROWS) -> DataFrame:
     while True:
         prefix = F.substring("key", 1, depth)
         big = cut(open_.where(F.length("key") >= depth).groupBy(prefix.alias("_p")).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("_p"))
-        if big.isEmpty():
+        found = big.count()
+        if not found:
             done = open_.withColumn("bucket", prefix)
             return done if closed is None else closed.unionByName(done)
-        joined = open_.withColumn("_q", prefix).join(big, (F.col("_q") == F.col("_p")) & (F.length("key") >= depth), "left")
+        joined = open_.withColumn("_q", prefix).join(F.broadcast(big) if found <= BROADCAST else big, (F.col("_q") == F.col("_p")) & (F.length("key") >= depth), "left")
         fits = joined.where("_p is null").withColumn("bucket", F.col("_q")).drop("_p", "_q")
         closed = fits if closed is None else closed.unionByName(fits)
         open_ = joined.where("_p is not null").drop("_p", "_q")
