@@ -36,6 +36,12 @@ def family_names(author: Column) -> Column:
     return F.transform(standard_names(author), lambda x: F.split_part(x, F.lit(","), F.lit(1)))
 
 
+def strip_brackets(c: Column) -> Column:
+    """Text without the braces that enclose all of it; braces around parts of it stay."""
+    inner = r"(?s)^\{((?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*)\}$"
+    return F.regexp_replace(c, inner, "$1")
+
+
 def simplify(c: Column) -> Column:
     """Lower case, non-ASCII letters as an underscore."""
     return strip(F.lower(F.regexp_replace(c, r"[^\x00-\x80]", "_")))

@@ -42,7 +42,7 @@ def year() -> Column:
 
 
 def records(messages: DataFrame) -> DataFrame:
-    """(message_id, entry_type, cite_key, field_map): one record a message, with the fields of its type, none empty."""
+    """(message_id, entry_type, cite_key, field_map, abstract): one record a message, with the fields of its type, none empty."""
     head = lambda c: F.try_element_at(F.col(f"m.`{c}`"), F.lit(1))
     kind = F.coalesce("m.type", F.lit("misc"))
     of = lambda *types: kind.isin(*types)
@@ -57,7 +57,7 @@ def records(messages: DataFrame) -> DataFrame:
     }
     entries = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in values.items()])
     kept = F.map_from_entries(F.filter(entries, lambda x: F.coalesce(x["v"], F.lit("")) != ""))
-    return parsed(messages).select("message_id", bib_type(kind).alias("entry_type"), F.coalesce("m.DOI", F.lit("")).alias("cite_key"), kept.alias("field_map"))
+    return parsed(messages).select("message_id", bib_type(kind).alias("entry_type"), F.coalesce("m.DOI", F.lit("")).alias("cite_key"), kept.alias("field_map"), F.col("m.abstract").alias("abstract"))
 
 
 def latest(messages: DataFrame) -> DataFrame:

@@ -48,8 +48,11 @@ def sizes(files: DataFrame) -> DataFrame:
     return listing(files).where(F.lower("path").endswith(".pdf")).groupBy("lib").agg(F.count("*").alias("n_pdf"), F.sum("size_bytes").cast("long").alias("bytes"))
 
 
-def rename_targets(bib: DataFrame, folder: str = "files", template: str = "{authorX}_{year}_{title}") -> DataFrame:
-    """(rec_id, pos, path, target): one file takes the rendered name, several go to a folder of that name."""
+def rename_targets(bib: DataFrame, files: DataFrame | None = None, folder: str = "files", template: str = "{authorX}_{year}_{title}") -> DataFrame:
+    """(rec_id, pos, path, target): one file takes the rendered name, several go to a folder of that name.
+
+    Broken links keep their path, where a listing of ``files`` is given.
+    """
     from .keys import file_name
 
     named = bib.where(B.field("file") != "").select("rec_id", file_name(template).alias("name"))
@@ -58,4 +61,8 @@ def rename_targets(bib: DataFrame, folder: str = "files", template: str = "{auth
     ext = F.regexp_extract("path", r"(\.[^./]+)$", 1)
     base = F.element_at(F.split("path", "/"), -1)
     target = F.when(F.col("n") == 1, F.concat(F.lit(folder + "/"), F.col("name"), ext)).otherwise(F.concat(F.lit(folder + "/"), F.col("name"), F.lit("/"), base))
-    return l.select("rec_id", "pos", "path", target.alias("target"))
+    if files is None:
+        return l.select("rec_id", "pos", "path", target.alias("target"))
+    there = listing(files).select(F.col("lib").alias("_l"), F.col("path").alias("_p")).distinct()
+    j = l.join(there, (F.col("lib") == F.col("_l")) & (F.col("path") == F.col("_p")), "left")
+    return j.select("rec_id", "pos", "path", F.when(F.col("_p").isNull(), F.col("path")).otherwise(target).alias("target"))

@@ -32,22 +32,37 @@ def first_of(df: DataFrame, key: list[str], order: str, out: str) -> DataFrame:
     return df.join(firsts, key, "left")
 
 
+def _compared(df: DataFrame, order: str) -> DataFrame:
+    """What records are compared by: content, both identities, DOI as written, each identity; null where they have none."""
+    d = identities(df)
+    ided = (F.col("doi_id") != "") | (F.col("at_id") != "")
+    filled = lambda c: F.when(F.col(c) != "", F.col(c))
+    return d.select(
+        order, F.when(ided, F.sha2(F.to_json(B.content()), 256)).alias("body"), F.when(ided, F.sha2(F.concat_ws("\x1f", "doi_id", "at_id"), 256)).alias("pair"),
+        filled("doi_raw").alias("doi_raw"), filled("doi_id").alias("doi_id"), F.when(F.col("at_id") != "", F.sha2("at_id", 256)).alias("at_id"),
+    )
+
+
+def best_among(df: DataFrame, library: DataFrame, order: str = "rec_id") -> DataFrame:
+    """(order, match, level): the most similar record of ``library`` before each record of ``df``, the earliest of that level."""
+    mine, theirs = cut(_compared(df, order)), cut(_compared(library, order))
+    kinds = ["body", "pair", "doi_raw", "doi_id", "at_id"]
+    # one aggregate over (kind, key), joined once: a row of df meets at most one row for each kind
+    tall = lambda d: d.select(order, F.posexplode(F.array(*kinds)).alias("kind", "key")).where("key is not null")
+    firsts = tall(theirs).groupBy("kind", "key").agg(F.min(order).alias("first"))
+    j = tall(mine).join(firsts, ["kind", "key"]).where(F.col("first") < F.col(order))
+    level = F.when(F.col("kind") < 3, F.lit(LEVELS["EXACT"]) - F.col("kind")).otherwise(LEVELS["PARTIAL"])
+    best = j.groupBy(order).agg(F.max(F.struct(level.cast("long").alias("level"), (-F.col("first")).alias("back"))).alias("x"))
+    return best.select(order, (-F.col("x.back")).alias("match"), "x.level")
+
+
 def best_earlier(df: DataFrame, order: str = "rec_id") -> DataFrame:
     """(order, level, match): the most similar earlier record of each record, the earliest of that level.
 
     EXACT: all content equal; GOOD: both identities equal; FAIR: DOI equal as written; PARTIAL: one identity equal.
     Records without any identity match nothing.
     """
-    d = identities(df).withColumn("body", F.sha2(F.to_json(B.content()), 256)).select(order, "doi_id", "at_id", "doi_raw", "body")
-    ided = (F.col("doi_id") != "") | (F.col("at_id") != "")
-    d = d.withColumn("body", F.when(ided, F.col("body"))).withColumn("pair", F.when(ided, F.concat_ws("\x1f", "doi_id", "at_id")))
-    for key, out in ((["body"], "m104"), (["pair"], "m103"), (["doi_raw"], "m102"), (["doi_id"], "d101"), (["at_id"], "a101")):
-        d = first_of(d, key, order, out)
-    # a first record of its own class has no earlier match there
-    earlier = [F.when(F.col(c) < F.col(order), F.col(c)) for c in ("m104", "m103", "m102", "d101", "a101")]
-    level = F.when(earlier[0].isNotNull(), 104).when(earlier[1].isNotNull(), 103).when(earlier[2].isNotNull(), 102).when(earlier[3].isNotNull() | earlier[4].isNotNull(), 101)
-    match = F.coalesce(earlier[0], earlier[1], earlier[2], F.least(earlier[3], earlier[4]))
-    return d.select(order, level.cast("long").alias("level"), match.alias("match")).where(F.col("level").isNotNull())
+    return best_among(df, df, order).select(order, "level", "match")
 
 
 def classes(df: DataFrame, order: str = "rec_id") -> DataFrame:
@@ -74,23 +89,36 @@ def adjacent_runs(df: DataFrame, key: Column, within: str, order: list[str], ide
     return d.join(n, [within, "run"]).select(within, ident, "run", "n")
 
 
-def greedy_groups(df: DataFrame, order: str = "rec_id") -> DataFrame:
+def greedy_groups(df: DataFrame, order: str = "rec_id", by_key: bool = False) -> DataFrame:
     """(order, group_first): each record joins the earliest group that holds an earlier record equal to it
-    (PARTIAL level), else it founds one; groups never merge later.
+    (PARTIAL level, or with ``by_key`` the same key), else it founds one; groups never merge later.
 
     The fold is a fixpoint of a running minimum over earlier records of the same identity: a record's group is final
     once those of all earlier records that it shares an identity with are. Rounds are as many as the longest chain.
     """
-    d = identities(df).select(F.col(order).alias("o"), F.when(F.col("doi_id") != "", F.col("doi_id")).alias("d"), F.when(F.col("at_id") != "", F.col("at_id")).alias("a"))
-    d = placed(d, ["d"], ["o"]).withColumnRenamed("_p", "_pd")
-    d = placed(d, ["a"], ["o"]).withColumnRenamed("_p", "_pa").withColumn("g", F.col("o"))
+    ids = {"d": F.when(F.col("doi_id") != "", F.xxhash64("doi_id")), "a": F.when(F.col("at_id") != "", F.xxhash64("at_id"))}
+    if by_key:
+        ids["k"] = F.when(F.col("cite_key") != "", F.xxhash64("cite_key"))
+    d = identities(df).select(F.col(order).alias("o"), *[c.alias(k) for k, c in ids.items()])
+    # records that share no identity with an earlier one are done
+    first = d
+    for k in ids:
+        g = d.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.count("*").alias(f"n_{k}"))
+        first = first.join(g, F.col(k) == F.col("_k"), "left").drop("_k")
+    first = cut(first)
+    shared = F.greatest(*[F.coalesce(f"n_{k}", F.lit(0)) for k in ids]) > 1
+    alone, d = first.where(~shared).select(F.col("o").alias(order), F.col("o").alias("group_first")), first.where(shared).select("o", *ids)
+    for k in ids:
+        d = placed(d, [k], ["o"]).withColumnRenamed("_p", f"_p{k}")
+    d = d.withColumn("g", F.col("o"))
+    places = [f"_p{k}" for k in ids]
     while True:
-        for k in ("d", "a"):
+        for k in ids:
             d = earlier_min(d, k, "o", "g", f"_{k}", f"_p{k}").withColumn(f"_{k}", F.when(F.col(k).isNotNull(), F.col(f"_{k}")))
-        d = d.withColumn("h", F.coalesce(F.least("_d", "_a"), F.col("o")))
-        d = cut(d.select("o", "d", "a", "_pd", "_pa", F.col("h").alias("g"), (F.col("h") != F.col("g")).alias("moved")))
-        if not d.where("moved").limit(1).count():
-            return d.select(F.col("o").alias(order), F.col("g").alias("group_first"))
+        d = d.withColumn("h", F.coalesce(F.least(*[f"_{k}" for k in ids]), F.col("o")))
+        d = cut(d.select("o", *ids, *places, F.col("h").alias("g"), (F.col("h") != F.col("g")).alias("moved")))
+        if d.where("moved").isEmpty():
+            return alone.unionByName(d.select(F.col("o").alias(order), F.col("g").alias("group_first")))
         d = d.drop("moved")
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import bib as B
 
-# fixed values: places of a DOI in document metadata, in the order in which they are tried
-METADATA_DOI = (r"<prism:doi>\s*([^<\s]+)", r"<pdfx?:doi>\s*([^<\s]+)", r"<crossmark:doi>\s*([^<\s]+)", r"<dc:identifier>\s*(?:doi:)?\s*([^<\s]+)", r"\bdoi[:=\s]\s*(10\.\d{4,9}/[^\s<\"']+)")
+# fixed values: places of a DOI in document metadata, in the order in which they are tried, letter case aside
+_DOI = r"(10\.\d{4,9}/[-._;()/:a-z0-9]+)"
+METADATA_DOI = (rf"<prism:doi>{_DOI}</prism:doi>", rf"<dc:identifier>doi:{_DOI}</dc:identifier>", rf"<pdfx:doi>{_DOI}</pdfx:doi>", rf"<crossmark:DOI>{_DOI}</crossmark:DOI>")
 ACTIONS = ("keep", "delete", "merge", "best")
 
 

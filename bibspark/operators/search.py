@@ -53,6 +53,11 @@ def by_field(name: str, words: list[str], **how) -> Column:
     return B.has(name) & terms(B.field(name), words, **how)
 
 
+def of_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Records whose key is among ``keys`` (column cite_key), letter case included."""
+    return df.join(keys.where("cite_key is not null").select("cite_key").distinct(), "cite_key", "left_semi")
+
+
 def by_key(words: list[str], **how) -> Column:
     return terms(F.coalesce("cite_key", F.lit("")), words, **how)
 

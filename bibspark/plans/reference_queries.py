@@ -12,6 +12,7 @@ from ..operators import crossref as C
 from ..operators import files as A
 from ..operators import history as H
 from ..operators import identity as I
+from ..operators import insertion as N
 from ..operators import keys as K
 from ..operators import merge as M
 from ..operators import search as S
@@ -157,9 +158,12 @@ def list_fuzzy(spark, d):
     return S.select(bib(spark, d).where("map_contains_key(field_map, 'title')"), S.leaf(B.field("title"), "gradual kelp of the wendelsee", fuzzy=70)).select("rec_id")
 
 
-@query("select count(*) as n_entries, count(distinct lib) as n_libs from bib_entry where lib in ('polarshared', 'lib_kelemi')")
+@query("select rec_id, cite_key from bib_entry where cite_key in (select min(cite_key) from bib_entry union all select max(cite_key) from bib_entry)")
 def check_keys_subset(spark, d):
-    return bib(spark, d).where(F.col("lib").isin("polarshared", "lib_kelemi")).agg(F.count("*").alias("n_entries"), F.countDistinct("lib").alias("n_libs"))
+    """Records of given keys only."""
+    b = bib(spark, d)
+    ends = b.agg(F.array(F.min("cite_key"), F.max("cite_key")).alias("k")).select(F.explode("k").alias("cite_key"))
+    return S.of_keys(b, ends).select("rec_id", "cite_key")
 
 
 # --- output ---------------------------------------------------------------------------------------------------
@@ -353,46 +357,58 @@ def merge_files(spark, d):
     return rank(p, ["group_no"], ["rec_id", "pos"], "place").select("group_no", "path", "place")
 
 
-def _halves(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _halves(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The library before 2022, and the batch of what came later."""
     b = bib(spark, d)
     cut = F.lit("2022-01-01").cast("timestamp_ntz")
-    new = b.where(F.col("added_ts").cast("timestamp_ntz") >= cut)
-    old = b.where(F.col("added_ts").cast("timestamp_ntz") < cut)
-    i = lambda x: x.select("rec_id", F.lower(B.field("doi")).alias("doi_id")).where("doi_id <> ''")
-    firsts = i(old).groupBy("doi_id").agg(F.min("rec_id").alias("match"))
-    return old, new, i(new).join(firsts, "doi_id").select("rec_id", "match")
-
-
-_H = f"""with o as (select rec_id as entry, field_map from bib_entry where added_ts < timestamp '2022-01-01'), n as (select rec_id, field_map from bib_entry where added_ts >= timestamp '2022-01-01'),
-f as (select lower({fv('doi')}) as d, min(entry) as match from o where {fv('doi')} <> '' group by 1), l as (select rec_id, match from n join f on lower({fv('doi')}) = d),
-h as (select match, rec_id, field_map from n join l using (rec_id)), free as (select rec_id as entry, field_map from n where rec_id not in (select rec_id from l)), """
-_X = "select entry, kv.key as field, kv.value as value from (select entry, unnest(map_entries(field_map)) as kv from z)"
-_A = "e as (select entry, -1::bigint as nth, unnest(map_entries(field_map)) as kv from o union all select match, rec_id, unnest(map_entries(field_map)) from h) select entry, kv.key as field, {f}(kv.value, nth) as value from e group by 1, 2 union all select entry, kv.key, kv.value from (select entry, unnest(map_entries(field_map)) as kv from free)"
+    return b.where(F.col("added_ts").cast("timestamp_ntz") < cut), b.where(F.col("added_ts").cast("timestamp_ntz") >= cut)
+
+
+_N = "2305843009213693952"
+_H = (
+    f"with recursive src as (select rec_id + case when added_ts >= timestamp '2022-01-01' then {_N} else 0 end as rec_id, field_map, entry_type, cite_key from bib_entry where added_ts is not null), "
+    + _BEST.replace("with i as", "i as").replace("from bib_entry", "from src")
+    + f""", lk as (select rec_id as ord, match from best where level is not null and rec_id >= {_N}), w as (select ord, match as root from lk union all select w.ord, lk.match from w join lk on w.root = lk.ord),
+c as (select ord, root from w where root not in (select ord from lk)),
+m as (select rec_id as ord, list_concat(map_entries(coalesce(field_map, MAP {{}}::map(varchar, varchar))), [{{'key': 'ENTRYTYPE', 'value': coalesce(entry_type, '')}}, {{'key': 'ID', 'value': coalesce(cite_key, '')}}]) as kvs from src),
+p as (select coalesce(c.root, s.rec_id) as entry, case when c.root is null then -1 else rec_id end as nth, unnest({FILES}) as path, generate_subscripts({FILES}, 1) as pos from src s left join c on c.ord = s.rec_id),
+q as (select entry, path, min((nth, pos)) as place from p where entry in (select root from c) group by all),
+f as (select entry, 'file' as field, string_agg(':' || path || ':' || regexp_extract(path, '\\.([^./]*)$', 1), ';' order by place) as value from q group by entry), """
+)
+_X = f"select case when entry >= {_N} then entry - {_N} else entry end as entry, field, value from (select * from z where field <> 'file' or entry not in (select entry from f) union all select * from f)"
+_A = "ev as (select coalesce(c.root, m.ord) as entry, case when c.root is null then -1 else m.ord end as nth, unnest(kvs) as kv from m left join c using (ord)), z as (select entry, kv.key as field, {f}(kv.value, nth) as value from ev group by 1, 2) "
 
 
-@query(_H + _A.format(f="arg_min"))
+@query(_H + _A.format(f="arg_min") + _X)
 def insert_update_missing(spark, d):
-    return M.insert(*_halves(spark, d), mode="u")
+    return N.insert_checked(*_halves(spark, d), mode="u")
 
 
-@query(_H + _A.format(f="arg_max"))
+@query(_H + _A.format(f="arg_max") + _X)
 def insert_update_new(spark, d):
-    return M.insert(*_halves(spark, d), mode="U")
+    return N.insert_checked(*_halves(spark, d), mode="U")
 
 
-@query(_H + "last as (select match as entry, arg_max(field_map, rec_id) as field_map from h group by 1), z as (select * from o where entry not in (select entry from last) union all select * from last union all select * from free) " + _X)
+@query(_H + "g as (select root, max(ord) as ord from c group by 1), z as (select entry, kv.key as field, kv.value as value from (select coalesce(g.root, m.ord) as entry, unnest(kvs) as kv from m left join g using (ord) where g.root is not null or (m.ord not in (select ord from c) and m.ord not in (select root from g)))) " + _X)
 def insert_overwrite(spark, d):
-    return M.insert(*_halves(spark, d), mode="o")
+    return N.insert_checked(*_halves(spark, d), mode="o")
 
 
-@query(_H + "z as (select * from o union all select * from n) " + _X)
+@query(_H + f"z as (select case when ord >= {_N} then ord - {_N} else ord end as entry, unnest(kvs) as kv from m) select entry, kv.key as field, kv.value as value from z")
 def insert_append(spark, d):
-    return M.insert(*_halves(spark, d), mode="a")
+    return N.insert_checked(*_halves(spark, d), mode="a")
 
 
-@query(_H + "z as (select * from o union all select * from free) " + _X)
+@query()
 def insert_skip(spark, d):
-    return M.insert(*_halves(spark, d), mode="s")
+    """The library with what no earlier record is a duplicate of (no SQL: a fixpoint; tests replay it record by record)."""
+    return N.insert_checked(*_halves(spark, d), mode="s")
+
+
+@query()
+def dup_all(spark, d):
+    """Groups of equal key, DOI or authors and title, first match first (no SQL: a fixpoint; tests replay it)."""
+    return I.greedy_groups(bib(spark, d), by_key=True)
 
 
 def _edited(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -423,29 +439,42 @@ def delete_selected(spark, d):
     return b.join(S.select(b, S.by_field("title", ["kelp"])).select("rec_id"), "rec_id", "left_anti").select("rec_id")
 
 
+_XMP = "concat_ws('', '<x>', case rec_id % 4 when 0 then '<pdfx:doi>10.1234/other</pdfx:doi>' when 1 then '<dc:identifier>urn:uuid:77</dc:identifier>' else '' end, '<dc:identifier>doi:' || lower(field_map['doi']) || '</dc:identifier>', case rec_id % 3 when 0 then '<CrossMark:doi>10.5555/third</CrossMark:doi>' else '' end)"
+
+
+@query(f"""with t as (select rec_id, {_XMP} as x from bib_entry) select rec_id, coalesce({", ".join(f"nullif(regexp_extract(x, '(?i)<{a}>{p}(10[.][0-9]{{4,9}}/[-._;()/:a-z0-9]+)</{a}>', 1), '')" for a, p in (("prism:doi", ""), ("dc:identifier", "doi:"), ("pdfx:doi", ""), ("crossmark:DOI", "")))}) as doi from t""")
+def metadata_doi(spark, d):
+    """DOI of a metadata text, by the first place that holds one."""
+    from ..operators import maintenance as U
+
+    x = F.concat_ws(
+        "", F.lit("<x>"), F.when(F.col("rec_id") % 4 == 0, "<pdfx:doi>10.1234/other</pdfx:doi>").when(F.col("rec_id") % 4 == 1, "<dc:identifier>urn:uuid:77</dc:identifier>").otherwise(""),
+        F.concat(F.lit("<dc:identifier>doi:"), F.lower(F.col("field_map").getItem("doi")), F.lit("</dc:identifier>")), F.when(F.col("rec_id") % 3 == 0, "<CrossMark:doi>10.5555/third</CrossMark:doi>").otherwise(""),
+    )
+    return bib(spark, d).select("rec_id", U.metadata_doi(x).alias("doi"))
+
+
+@query(f"select rec_id, array_to_string(list_transform({FAM}, lambda x: regexp_replace(x, '^[{{]((?:[^{{}}]|[{{](?:[^{{}}]|[{{](?:[^{{}}]|[{{][^{{}}]*[}}])*[}}])*[}}])*)[}}]$', '\\1', 's')), '|') as families from bib_entry")
+def bare_families(spark, d):
+    """Family names without the braces that enclose all of them."""
+    return bib(spark, d).select("rec_id", F.array_join(F.transform(B.family_names(B.field("author")), B.strip_brackets), "|").alias("families"))
+
+
 # --- identifiers and texts ------------------------------------------------------------------------------------
 @query(f"select rec_id, {VDOI} as valid, not ({hasf('doi')}) as absent from bib_entry")
 def doi_valid(spark, d):
     return bib(spark, d).select("rec_id", B.valid_doi(B.field("doi")).alias("valid"), (~B.has("doi")).alias("absent"))
 
 
-@query(r"select doc_id, regexp_extract(lower(text), '[doi,./rg][\s.:]{0,2}(10\.[0-9]{4,9}/[-._;()/:a-z0-9]*[-_;(/a-z0-9])', 1) as doi from documents where len(regexp_extract_all(lower(text), '[doi,./rg][\s.:]{0,2}10\.[0-9]{4,9}/[-._;()/:a-z0-9]+')) = 1 and not regexp_matches(lower(text), '10\.[0-9]{4,9}/[^ ]*(dcsupp|pdf|preprint|received|published|edited|advance|full|abstract|supplement|\))|10\.\s*\n|10\.1073|10\.[0-9]{4,9}/[-._;()/:a-z0-9]+-\s*\n|[\x{2013}\x{2014}\x{200b}\x{ad}]')")
-def doi_extract(spark, d):
-    t = read(spark, d, "documents")
-    plain = r"10\.[0-9]{4,9}/[^ ]*(dcsupp|pdf|preprint|received|published|edited|advance|full|abstract|supplement|\))|10\.\s*\n|10\.1073|10\.[0-9]{4,9}/[-._;()/:a-z0-9]+-\s*\n|[\x{2013}\x{2014}\x{200b}\x{ad}]"
-    one = F.size(F.regexp_extract_all(F.lower("text"), F.lit(rf"[doi,doi.org/][\s\.\:]{{0,2}}({B.DOI_BODY})"), 1)) == 1
-    return t.where(one & ~F.lower("text").rlike(plain)).select("doc_id", B.parse_doi(F.col("text")).alias("doi"))
-
-
 @query()
 def doi_of_documents(spark, d):
     """DOI of every document that has one, by all steps (no SQL: ordered preferences and cuts)."""
     return read(spark, d, "documents").select("doc_id", B.parse_doi(F.col("text")).alias("doi")).where("doi is not null")
 
 
-@query(r"select doc_id, array_to_string(list_slice(w, 1, 200), ' ') as query from (select doc_id, list_filter(regexp_split_to_array(array_to_string(list_filter(string_split(text, chr(10) || chr(10)), lambda p: not starts_with(lower(p), 'reference')), ' '), '\s+'), lambda x: x <> '') as w from documents where text is not null and not contains(text, chr(11))) where len(w) >= 3")
+@query(r"select doc_id, array_to_string(list_slice(w, 1, 200), ' ') as query from (select doc_id, list_filter(regexp_split_to_array(array_to_string(list_filter(string_split(text, chr(10) || chr(10)), lambda p: not starts_with(lower(p), 'reference')), ' '), '[\s\x0b]+'), lambda x: x <> '') as w from documents where text is not null) where len(w) >= 3")
 def query_text(spark, d):
-    t = read(spark, d, "documents").where("text is not null and not contains(text, '\x0b')")
+    t = read(spark, d, "documents").where("text is not null")
     return t.select("doc_id", B.query_text(F.col("text")).alias("query")).where("query is not null")
 
 
@@ -485,7 +514,7 @@ def key_clashes(spark, d):
 @query()
 def rename_targets(spark, d):
     """Target path of every attachment under the file-name template (no SQL: slugs)."""
-    return A.rename_targets(bib(spark, d))
+    return A.rename_targets(bib(spark, d), read(spark, d, "lib_file"))
 
 
 _LIVE = "live as (select lib, file_path as path, min(sha256) as sha256, max(size_bytes) as size_bytes from lib_file where deleted_ts is null and file_path is not null group by 1, 2)"
@@ -567,7 +596,7 @@ def crossref_rank(spark, d):
     """For every record whose rec_id is divisible by 50, the most relevant of all messages (no SQL: token-set ratios)."""
     b = bib(spark, d).where("rec_id % 50 = 0")
     m = C.records(read(spark, d, "crossref_message"))
-    m = m.select("message_id", F.array_join(B.family_names(B.field("author")), " ").alias("author"), F.col("field_map")["title"].alias("title"), F.lit(None).cast("string").alias("abstract"))
+    m = m.select("message_id", F.array_join(B.family_names(B.field("author")), " ").alias("author"), F.col("field_map").getItem("title").alias("title"), "abstract")
     return C.ranked(b.select("rec_id", F.concat_ws(" ", B.field("author"), B.field("title")).alias("text")), m, "rec_id")
 
 

@@ -20,8 +20,11 @@ def upsert(library: DataFrame, batch: DataFrame, mode: str = "u") -> DataFrame:
     rows = batch.select(*key, F.struct("loaded_ts", "seq").alias("at"), "entry_type", F.explode_outer("field_map").alias("k", "v"))
     pick = F.min if mode == "u" else F.max
     values = rows.groupBy(*key, "k").agg(pick(F.struct("at", "v")).alias("x"), pick(F.struct("at", "entry_type")).alias("t"), F.min("at").alias("first"))
-    new = values.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "x.v")))).alias("new_map"), F.max("t.entry_type").alias("new_type"), F.max("first").alias("a"))
-    j = library.join(new, key, "full")
+    new = values.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "x.v")))).alias("new_map"), pick("t").alias("t"), F.min("first").alias("a"))
+    new = new.select(F.col("lib").alias("_l"), F.col("cite_key").alias("_c"), "new_map", F.col("t.entry_type").alias("new_type"), "a", F.lit(True).alias("_new"))
+    # null is a key like any other, so that a library does not pile up records without one
+    j = library.withColumn("_old", F.lit(True)).join(new, F.col("lib").eqNullSafe(F.col("_l")) & F.col("cite_key").eqNullSafe(F.col("_c")), "full")
+    j = j.withColumn("lib", F.when(F.col("_old"), F.col("lib")).otherwise(F.col("_l"))).withColumn("cite_key", F.when(F.col("_old"), F.col("cite_key")).otherwise(F.col("_c")))
     old, add = F.coalesce("field_map", F.create_map().cast("map<string,string>")), F.coalesce("new_map", F.create_map().cast("map<string,string>"))
     merged = B.update_fields(old, add) if mode == "u" else B.update_fields(add, old)
     kind = F.coalesce("entry_type", "new_type") if mode == "u" else F.coalesce("new_type", "entry_type")

@@ -30,10 +30,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one is set where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir); on one machine a temporary one is set where it is unset."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="bibspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", at)
     if sc._jsc.sc().getCheckpointDir().isEmpty():

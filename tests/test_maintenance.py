@@ -22,7 +22,7 @@ def test_paths(spark):
     assert [r[0] for r in d.select(U.under(F.col("c"), F.col("p"))).collect()] == [True, False, True, False]
 
 
-@pytest.mark.parametrize("text, doi", [("<prism:doi>10.1/a</prism:doi><dc:identifier>doi:10.1/b", "10.1/a"), ("<dc:identifier>doi:10.1/b</dc:identifier>", "10.1/b"), ("Subject DOI: 10.1234/abc x", "10.1234/abc"), ("none", None), (None, None)])
+@pytest.mark.parametrize("text, doi", [("<dc:identifier>doi:10.1234/b</dc:identifier><prism:doi>10.1234/a</prism:doi>", "10.1234/a"), ("<pdfx:doi>10.1234/bbb</pdfx:doi><dc:identifier>doi:10.1234/aaa</dc:identifier>", "10.1234/aaa"), ("<dc:identifier>urn:uuid:77</dc:identifier>", None), ("<PDFX:DOI>10.1234/X(1)</PDFX:DOI>", "10.1234/X(1)"), ("Subject DOI: 10.1234/abc x", None), ("none", None), (None, None)])
 def test_metadata_doi(spark, text, doi):
     assert spark.createDataFrame([(text,)], "x string").select(U.metadata_doi(F.col("x"))).collect()[0][0] == doi
 
