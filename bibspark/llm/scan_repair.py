@@ -31,6 +31,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,7 +151,7 @@ class Counts:
 
 
 def count_sketch(pages: DataFrame, text: str) -> np.ndarray:
-    """The sketch of all pages: tables of the tasks, cut in ``PARTS`` and added part by part."""
+    """The sketch of all pages: tables of the tasks, cut in ``PARTS`` and added part by part, ``PARTS`` tasks first."""
     size = 2 * CELLS // PARTS
 
     def count(batches):
@@ -170,25 +171,26 @@ def count_sketch(pages: DataFrame, text: str) -> np.ndarray:
                     add()
                     c = Counts()
         add()
+        slot = TaskContext.get().partitionId() // PARTS
         parts = [(k, table[k * size : (k + 1) * size]) for k in range(PARTS)]
         at = [np.flatnonzero(x) for _, x in parts]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in parts], pa.int32()), pa.array([x.astype(np.int32).tobytes() for x in at], pa.binary()), pa.array([x[i].tobytes() for (_, x), i in zip(parts, at)], pa.binary())],
-            names=["part", "at", "n"],
+            [pa.array([k for k, _ in parts], pa.int32()), pa.array([slot] * PARTS, pa.int32()), pa.array([x.astype(np.int32).tobytes() for x in at], pa.binary()), pa.array([x[i].tobytes() for (_, x), i in zip(parts, at)], pa.binary())],
+            names=["part", "slot", "at", "n"],
         )
 
     def add(rows: pa.Table) -> pa.Table:
         total = np.zeros(size, np.int64)
         for a, n in zip(rows.column("at").to_pylist(), rows.column("n").to_pylist()):
             total[np.frombuffer(a, np.int32)] += np.frombuffer(n, np.int64)
-        total = np.minimum(total, 2**31 - 1).astype(np.int32)
         at = np.flatnonzero(total).astype(np.int32)
-        return pa.table([rows.column("part").slice(0, 1), pa.array([at.tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], names=["part", "at", "n"])
+        return pa.table([rows.column("part").slice(0, 1), pa.array([0], pa.int32()), pa.array([at.tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], names=["part", "slot", "at", "n"])
 
     out = np.zeros(2 * CELLS, np.int32)
-    local = pages.select(text).mapInArrow(count, "part int, at binary, n binary")
-    for part, at, n in local.groupBy("part").applyInArrow(add, "part int, at binary, n binary").collect():  # 2 * CELLS numbers at most
-        out[part * size + np.frombuffer(at, np.int32)] = np.frombuffer(n, np.int32)
+    schema = "part int, slot int, at binary, n binary"
+    local = pages.select(text).mapInArrow(count, schema).groupBy("part", "slot").applyInArrow(add, schema)
+    for part, _, at, n in local.groupBy("part").applyInArrow(add, schema).collect():  # 2 * CELLS numbers at most
+        out[part * size + np.frombuffer(at, np.int32)] = np.minimum(np.frombuffer(n, np.int64), 2**31 - 1)
     return out
 
 
