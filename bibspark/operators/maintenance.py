@@ -108,8 +108,10 @@ def decide(groups: DataFrame, decisions: DataFrame, group: str, order: str = "re
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """(lib, n, fingerprint): content of each library, without regard to order: count, and sums of two hashes."""
-    h = F.xxhash64(F.to_json(B.content()))
+    """(lib, n, fingerprint): content of each library, without regard to order: count, exclusive or and sum of hashes."""
+    fields = F.array_join(F.transform(F.array_sort(F.map_entries(F.coalesce("field_map", F.create_map().cast("map<string,string>")))), lambda x: F.concat(x["key"], F.lit("\x1e"), F.coalesce(x["value"], F.lit("")))), "\x1f")
+    text = F.concat_ws("\x1d", F.coalesce("entry_type", F.lit("")), F.coalesce("cite_key", F.lit("")), fields)
+    h = F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
     return df.groupBy("lib").agg(F.count("*").alias("n"), F.concat_ws("-", F.bit_xor(h).cast("string"), F.sum(h.cast("decimal(20,0)")).cast("string")).alias("fingerprint"))
 
 

@@ -80,3 +80,10 @@ def field_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     b = before.join(both, key).select(key, F.explode("field_map").alias("field", "old"))
     a = after.join(both, key).select(key, F.explode("field_map").alias("field", "new"))
     return b.join(a, [key, "field"], "full").where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def touched(before: DataFrame, after: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, touched): whether a record's ``name`` is one under which something was added, removed or modified."""
+    names = before.select(key, name).unionByName(after.select(key, name)).where(F.col(name).isNotNull()).groupBy(key).agg(F.min(name).alias(name))
+    changed = diff(before, after, key).where("change <> 'existing'").join(names, key).select(name).distinct().withColumn("_t", F.lit(True))
+    return names.join(changed, name, "left").select(key, F.coalesce("_t", F.lit(False)).alias("touched"))

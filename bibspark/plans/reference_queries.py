@@ -647,9 +647,9 @@ def doi_mismatch(spark, d):
     return t.join(b, "rec_id").where("lower(found) <> known").select("doc_id", "rec_id", "found", "known")
 
 
-@query()
+@query(f"""select rec_id, array_to_string(list_transform({FILES}, lambda p: coalesce(nullif(list_reduce(string_split(case when starts_with(p, '/') then p else '/srv/' || lib || '/' || p end, '/'), lambda a, x: case x when '' then a when '.' then a when '..' then regexp_replace(a, '/[^/]*$', '') else a || '/' || x end, ''), ''), '/')), '|') as paths from bib_entry where {fv('file')} <> ''""")
 def normal_paths(spark, d):
-    """Attachments as absolute, resolved paths under their library's root (no SQL: fold over path parts)."""
+    """Attachments as absolute, resolved paths under their library's root."""
     from ..operators import maintenance as U
 
     paths = U.rebase(B.attachments(B.field("file")), F.concat(F.lit("/srv/"), "lib"))
@@ -676,7 +676,8 @@ def cache_merge(spark, d):
     return U.merge_cache(m, x, "k", "v")
 
 
-@query()
+@query(f"""with m as (select distinct group_no, rec_id from dup_link), s as (select group_no, rec_id, row_number() over (partition by group_no order by {SCORE} desc, rec_id desc) as r, group_no % 3 as a from m join bib_entry using (rec_id))
+select group_no, rec_id, case when a = 2 then 'dropped' when r > 1 then 'dropped' when a = 0 then 'merged' else 'kept' end as fate from s""")
 def group_fates(spark, d):
     """Fate of each confirmed duplicate under a decision by group number: merge, best, delete or none."""
     from ..operators import maintenance as U
@@ -686,9 +687,10 @@ def group_fates(spark, d):
     return U.decide(g, g.select("group_no").distinct().select("group_no", actions.alias("action")), "group_no")
 
 
-@query()
+@query("""with t as (select lib, coalesce(entry_type, '') || chr(29) || coalesce(cite_key, '') || chr(29) || coalesce(array_to_string(list_transform(list_sort(map_keys(field_map)), lambda k: k || chr(30) || coalesce(field_map[k], '')), chr(31)), '') as x from bib_entry),
+h as (select lib, ('0x' || substr(sha256(x), 1, 15))::bigint as h from t) select lib, count(*) as n, bit_xor(h)::varchar || '-' || sum(h)::varchar as fingerprint from h group by lib""")
 def library_fingerprints(spark, d):
-    """Order-free content hash of every library (no SQL: Spark's hash)."""
+    """Order-free content hash of every library."""
     from ..operators import maintenance as U
 
     return U.fingerprint(bib(spark, d))
@@ -698,3 +700,19 @@ def library_fingerprints(spark, d):
 def crossref_types(spark, d):
     p = C.parsed(read(spark, d, "crossref_message"))
     return p.groupBy(F.coalesce("m.type", F.lit("")).alias("type_in")).agg(F.count("*").alias("n")).select("type_in", C.bib_type(F.col("type_in")).alias("type_out"), "n")
+
+
+@query("select rec_id, row_number() over (partition by lib order by lower(coalesce(cite_key, '')), rec_id) as place from bib_entry")
+def library_order_lower(spark, d):
+    """Place of each record by key, letter case aside."""
+    from ..operators.ordered import rank
+
+    b = bib(spark, d).select("lib", F.lower(F.coalesce("cite_key", F.lit(""))).alias("key"), "rec_id")
+    return rank(b, ["lib"], ["key", "rec_id"], "place").select("rec_id", "place")
+
+
+@query(_E + """, s as (select coalesce(a.rec_id, b.rec_id) as rec_id, coalesce(a.cite_key, b.cite_key) as k, a.rec_id is not null and b.rec_id is not null and coalesce(a.entry_type, '') = coalesce(b.entry_type, '') as same from b full join a using (rec_id)),
+t as (select distinct k from s where not same and k is not null) select rec_id, k in (select k from t) as touched from s where k is not null""")
+def touched_keys(spark, d):
+    """Records split by whether an edit touched their key."""
+    return M.touched(*_edited(spark, d), key="rec_id", name="cite_key")

@@ -99,8 +99,12 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
+    """For local and mounted folders; ``read_bibtex`` reads any file system."""
+
     def __init__(self, options):
         self.path = options["path"]
+        if "://" in self.path and not self.path.startswith("file://"):
+            raise ValueError("the bibtex format reads local or mounted folders; use read_bibtex for other file systems")
 
     def partitions(self):
         import glob
@@ -189,6 +193,12 @@ def scan_directory(spark: SparkSession, path: str) -> DataFrame:
     return f.withColumn("kind", kind).join(bundles, "folder", "left").withColumn("bundle", F.coalesce("bundle", F.lit(False)))
 
 
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of the files below a folder of any file system."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return f.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
 def bibtex_links(pages: DataFrame, url: str, html: str) -> DataFrame:
     """(url, link): addresses of BibTeX files on pages, made absolute."""
     hrefs = F.explode(F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']+\.bib)["']"""), 1))

@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -95,3 +97,20 @@ def test_fuzzy(a, b):
     assert 0 <= r <= 100 and abs(r - token_set_ratio(b, a)) < 1e-9
     if a.split() and set(a.split()) <= set(b.split()):
         assert r == 100
+
+
+@pytest.mark.parametrize("tex, text", [(r"{\'e}", "é"), (r"{\c{c}}", "ç"), (r"\'{a}", "á"), ("\\'", ""), (r"{\Omega}-{\lambda}", "Ω-λ"), (r"\v{s}ek", "šek"), (r"\'{\i}", "í"), (r"{\DJ}oko", "Đoko"), (r"5 {\textdegree}C {\pm} 1", "5 °C ± 1"), (r"\^{\'{a}}", unicodedata.normalize("NFC", "a\u0301\u0302"))])
+def test_latex_to_unicode(tex, text):
+    assert to_unicode(tex) == text
+
+
+def test_latex_every_command():
+    from bibspark.functions import latex
+
+    for c in {*latex.COMMANDS, *latex.LETTERS} - {"ı", "ȷ"}:
+        assert to_unicode(f"a{to_latex(c)}b") == f"a{c}b"
+
+
+@pytest.mark.parametrize("text, bare", [("{Name}", "Name"), ("{my nam\\'{e}}", "my nam\\'{e}"), ("{my} {name}", "{my} {name}"), ("name", "name"), ("{}", ""), ("", "")])
+def test_strip_brackets(spark, text, bare):
+    assert value(spark, B.strip_brackets, text) == bare
