@@ -473,9 +473,9 @@ def average_linkage(checked: DataFrame, registry: DataFrame, weights) -> DataFra
     sums = _grams_of(members, lambda b: [[s] for s in b.column(2).to_pylist()], key, weights).groupBy(*key, "bucket").agg(F.sum("w").alias("total"))
     sizes = members.groupBy(*key).agg(F.count("*").alias("size"))
     rows = _grams_of(checked.select("name", *key), lambda b: [[s] for s in b.column(0).to_pylist()], {"name": "string", **key}, weights)
-    dots = rows.join(sums, [*key, "bucket"]).groupBy("name", *key).agg(F.sum(F.col("w") * F.col("total")).alias("dot"))
+    dots = rows.join(sums.hint("merge"), [*key, "bucket"]).groupBy("name", *key).agg(F.sum(F.col("w") * F.col("total")).alias("dot"))
     inside = best.withColumn("inside", F.lit(1))
-    linked = dots.join(sizes, list(key)).join(inside, ["name", *key], "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
+    linked = dots.join(sizes.hint("merge"), list(key)).join(inside.hint("merge"), ["name", *key], "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
     linked = linked.withColumn("linkage", F.round((F.col("dot") - F.col("inside")) / (F.col("size") - F.col("inside")), 9))
     return _best(linked.select("name", "person_id", "linkage").where(F.col("linkage") >= LINKAGE))
 
@@ -494,4 +494,4 @@ def link_mentions(mentions: DataFrame, name: str, keys: list[str], registry: Dat
     checked = written(_checked(found.join(short_forms(found), "first", "left")))
     linked = average_linkage(checked, entries, weights).select(F.col("name").alias("_name"), F.col("person_id").alias("_id"))
     mine = mentions.select(*keys, F.col(name).alias("_n"))
-    return mine.join(linked, F.col("_n") == F.col("_name")).select(*keys, F.col("_id").alias("person_id"))
+    return mine.join(linked.hint("merge"), F.col("_n") == F.col("_name")).select(*keys, F.col("_id").alias("person_id"))
