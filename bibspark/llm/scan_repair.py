@@ -363,12 +363,23 @@ class Page:
         self.kind = ["" if x.strip() else "blank" for x in self.lines]
         full = [i for i, k in enumerate(self.kind) if not k]
         self.edges = full[:4], full[::-1][:4]
-        self.grams = [[edge_grams(self.lines[i]) for i in e] for e in self.edges]
+        self._grams: list[list[frozenset[str]] | None] = [None, None]
         self.numbers: set[int] | None = None
         lengths = sorted([len(self.lines[i].rstrip()) for i in full])
         self.width = lengths[int(0.8 * (len(lengths) - 1))] if lengths else 0
 
 
+    def grams(self, side: int) -> list[frozenset[str]]:
+        if self._grams[side] is None:
+            self._grams[side] = [edge_grams(self.lines[i]) for i in self.edges[side]]
+        return self._grams[side]
+
+
+def _recurs(grams: frozenset[str], near: list[Page], side: int, share: float) -> bool:
+    """Whether a line with these trigrams stands at the same edge of a page near by."""
+    return bool(grams) and any(alike(grams, g, share) for q in near for g in q.grams(side))
+
+
 def printed_numbers(p: Page) -> set[int]:
     """Numbers at the page's edges that stand alone or at the end or beginning of a line."""
     if p.numbers is not None:
@@ -406,14 +417,15 @@ def mark_edges(p: Page, near: list[Page], vocabulary: Vocabulary) -> None:
                 continue
             if is_table(line) or len(line) < 90 and _HEADING.fullmatch(line):
                 break
-            grams = p.grams[side][rank]
+            goes_on = line.lstrip()[:1].islower()
+            if goes_on and len(line) >= 0.8 * p.width:
+                break
             edgy, inner = vocabulary.lines(line)
             share = ALIKE if inner < MOST else SAME
-            goes_on = line.lstrip()[:1].islower()
             typical = edgy >= max(MOST, inner)
-            if goes_on and (not typical or len(line) >= 0.8 * p.width):
+            if goes_on and not typical:
                 break
-            if typical and not goes_on or any(alike(grams, g, share) for q in near for g in q.grams[side]):
+            if typical and not goes_on or _recurs(edge_grams(line), near, side, share):
                 p.kind[i] = "running"
                 continue
             break
