@@ -11,8 +11,8 @@ dialect, and the cheapest parse wins. Code lengths come from one distributed cou
 
 The dictionary holds symbols with ``n >= N / HEAVY`` only, hence at most ``HEAVY`` entries of bounded length
 per field and kind: its size on the driver and in a broadcast is bounded whatever the input. Rarer items are
-spelled out, so no value is dropped or capped. Codes depend on shares alone: the same values in the same shares are
-parsed in the same way at every size.
+spelled out, so no value is dropped or capped. From ``HEAVY`` items on, codes depend on shares alone: the same values
+in the same shares are parsed in the same way at every size. Fewer items pay their spelling in full.
 
 Defined results: a null, empty or blank value has no items; empty items do not count; repeated items do;
 a value without delimiters is one item; extra columns of the input do not take part.
@@ -215,8 +215,9 @@ class Codes:
         for (f, s), n in counts.items():
             total = max(totals.get((f, s[0]), n), n, 2)
             own = (CHAR_BITS if s[0] == "=" else SHAPE_BITS) * len(s)
-            self.bits[f, s] = -math.log2(n / total) + own * total / (n * HEAVY)
-        self.escape = {k: math.log2(HEAVY) for k in totals}
+            self.bits[f, s] = -math.log2(n / total) + own / n * max(1.0, total / HEAVY)
+        self.escape = {k: math.log2(min(max(2, v), HEAVY)) for k, v in totals.items()}
+        self.scale = {f: max(1.0, v / HEAVY) for (f, k), v in totals.items() if k == "@"}
         # dialects, given the kinds of delimiter that a value holds
         self.seen: dict[tuple[str, str], int] = {}
         self.used = {k: n for k, n in counts.items() if k[1][0] == "@"}
@@ -242,7 +243,7 @@ class Codes:
         total = self.seen.get((f, "@" + present))
         if total is None:
             return 2.0 * len(kinds)
-        return -math.log2(self.used.get((f, f"@{present}>{kinds}"), 0) / total + 0.25 / HEAVY) + 0.01 * len(kinds)
+        return -math.log2(self.used.get((f, f"@{present}>{kinds}"), 0) / total + 0.25 / total * self.scale.get(f, 1.0)) + 0.01 * len(kinds)
 
     def dialect(self, f: str, whole: str) -> str:
         """Cheapest dialect of a shape; a form that this value has used already costs one bit."""

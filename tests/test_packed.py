@@ -71,3 +71,14 @@ def test_long_value(codes):
 @pytest.mark.parametrize("a, b", [("a//b/./c", "a/b/c"), ("tmp/../x.pdf", "x.pdf"), ("A/b.PDF", "A/b.PDF"), ("./", ""), ("../x", "../x"), ("a b/ c", "a b/ c")])
 def test_resolve(a, b):
     assert P.resolve_path(a) == b
+
+
+def test_codes_depend_on_shares():
+    """Ten times the counts give the same codes, from HEAVY items on."""
+    counts = {("keywords", "=kelp"): 900, ("keywords", "=ocean, kelp"): 40, ("author", "~X, X"): 800, ("author", "@A;>A"): 50, ("author", "@A;>;"): 7}
+    totals = {("keywords", "="): 60_000, ("author", "~"): 90_000, ("author", "@"): 25_000}
+    more = lambda d: {k: 10 * n for k, n in d.items()}
+    a, b = P.Codes(counts, totals), P.Codes(more(counts), more(totals))
+    assert a.bits == pytest.approx(b.bits) and a.escape == b.escape
+    for kinds in ("A", ";", "A;"):
+        assert a.declared("author", "A;", kinds) == pytest.approx(b.declared("author", "A;", kinds))
