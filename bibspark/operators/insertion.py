@@ -101,3 +101,17 @@ def insert_checked(old: DataFrame, new: DataFrame, mode: str, order: str = "rec_
         with_file = files.select("entry", F.lit("file").alias("field"), F.col("file").alias("value"))
         rows = rows.join(with_file.select("entry", "field"), ["entry", "field"], "left_anti").unionByName(with_file)
     return rows.select(F.when(F.col("entry") >= LATER, F.col("entry") - LATER).otherwise(F.col("entry")).alias("entry"), "field", "value")
+
+
+def key_conflicts(old: DataFrame, new: DataFrame, order: str = "rec_id", within: str = "lib") -> DataFrame:
+    """(order, match, kind): records of the batch whose key, letter case aside, an earlier record of their library has.
+
+    ``duplicate``: the first record of that key has the same title, so that the new one adds nothing; ``conflict``: it has
+    another, so that the new one needs another key. Records without a key conflict with none.
+    """
+    columns = [within, F.lower("cite_key").alias("k"), B.field("title").alias("title")]
+    every = old.select(F.col(order).alias("at"), *columns).unionByName(new.select((F.col(order) + F.lit(LATER)).alias("at"), *columns)).where("k is not null")
+    first = every.groupBy(within, "k").agg(F.min(F.struct("at", "title")).alias("f")).select(F.col(within).alias("_w"), F.col("k").alias("_k"), "f")
+    j = every.where(F.col("at") >= LATER).join(first, F.col(within).eqNullSafe(F.col("_w")) & (F.col("k") == F.col("_k"))).where("f.at < at")
+    plain = lambda c: F.when(c >= LATER, c - LATER).otherwise(c)
+    return j.select(plain(F.col("at")).alias(order), plain(F.col("f.at")).alias("match"), F.when(F.col("title") == F.col("f.title"), "duplicate").otherwise("conflict").alias("kind"))

@@ -405,6 +405,14 @@ def insert_skip(spark, d):
     return N.insert_checked(*_halves(spark, d), mode="s")
 
 
+@query(f"""with s as (select rec_id + case when added_ts >= timestamp '2022-01-01' then {_N} else 0 end as ord, lib, lower(cite_key) as k, {fv('title')} as title from bib_entry where added_ts is not null and cite_key is not null),
+f as (select *, min(ord) over (partition by lib, k) as first, arg_min(title, ord) over (partition by lib, k) as ft from s)
+select ord - {_N} as rec_id, case when first >= {_N} then first - {_N} else first end as match, case when title = ft then 'duplicate' else 'conflict' end as kind from f where ord >= {_N} and first < ord""")
+def insert_key_conflicts(spark, d):
+    """Records of the batch whose key an earlier record of their library has."""
+    return N.key_conflicts(*_halves(spark, d))
+
+
 @query()
 def dup_all(spark, d):
     """Groups of equal key, DOI or authors and title, first match first (no SQL: a fixpoint; tests replay it)."""

@@ -204,3 +204,11 @@ def test_groups_by_any_identity(spark):
     rows = [("k1", {"doi": "10.1000/a"}), ("k2", {"doi": "10.1000/b"}), ("k1", {"doi": "10.1000/c"}), (None, {"doi": "10.1000/C"}), ("k2", {"doi": "10.1000/A"}), ("", {}), ("", {})]
     d = spark.createDataFrame([(i, "article", k, f) for i, (k, f) in enumerate(rows, 1)], "rec_id long, entry_type string, cite_key string, field_map map<string,string>")
     assert {r["rec_id"]: r["group_first"] for r in I.greedy_groups(d, by_key=True).collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1, 6: 6, 7: 7}
+
+
+def test_key_conflicts(spark):
+    from bibspark.operators import insertion as N
+
+    d = bib(spark, [{"title": "a"}, {"title": "b"}, {"title": "a"}, {"title": "c"}, {"title": "d"}, None], ["K", "x", "k", "k", None, "new"])
+    got = {tuple(r) for r in N.key_conflicts(d.where("rec_id < 3"), d.where("rec_id >= 3")).collect()}
+    assert got == {(3, 1, "duplicate"), (4, 1, "conflict")}
