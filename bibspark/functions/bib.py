@@ -139,9 +139,11 @@ def record_score() -> Column:
     return ((100 * doi.cast("long") + 50 * has("title").cast("long") + 10 * has("author").cast("long") + has("file").cast("long")) * 100 + F.greatest(F.size("field_map"), F.lit(0))).cast("long")
 
 
-def content() -> Column:
-    """Everything of a record, comparable and groupable; absent and empty differ."""
-    return F.struct(F.coalesce("entry_type", F.lit("")).alias("t"), F.coalesce("cite_key", F.lit("")).alias("k"), F.array_sort(F.map_entries("field_map")).alias("f"))
+def content(skip: tuple[str, ...] = ()) -> Column:
+    """Everything of a record but the fields ``skip`` (ENTRYTYPE and ID among them), comparable and groupable; absent and empty differ."""
+    fields = F.map_filter("field_map", lambda k, _: ~k.isin(*skip)) if skip else F.col("field_map")
+    of = lambda name, c: F.lit("") if name in skip else F.coalesce(c, F.lit(""))
+    return F.struct(of("ENTRYTYPE", "entry_type").alias("t"), of("ID", "cite_key").alias("k"), F.array_sort(F.map_entries(fields)).alias("f"))
 
 
 def update_fields(first: Column, second: Column) -> Column:

@@ -66,3 +66,20 @@ def rename_targets(bib: DataFrame, files: DataFrame | None = None, folder: str =
     there = listing(files).select(F.col("lib").alias("_l"), F.col("path").alias("_p")).distinct()
     j = l.join(there, (F.col("lib") == F.col("_l")) & (F.col("path") == F.col("_p")), "left")
     return j.select("rec_id", "pos", "path", F.when(F.col("_p").isNull(), F.col("path")).otherwise(target).alias("target"))
+
+
+def merged(members: DataFrame, files: DataFrame, group: str) -> DataFrame:
+    """(group, place, path): attachments of a group in order of its records, each path and each content once.
+
+    Contents are those of the live files of a record's own library; paths without a known content count by themselves.
+    """
+    from .ordered import rank
+
+    l = members.select(group, "rec_id", "lib", F.posexplode(B.attachments(B.field("file"))).alias("pos", "path"))
+    at = F.struct("rec_id", "pos")
+    paths = l.groupBy(group, "path").agg(F.min(F.struct(at.alias("at"), "lib")).alias("x")).select(group, "path", F.col("x.at").alias("at"), F.col("x.lib").alias("lib"))
+    known = listing(files).select(F.col("lib").alias("_l"), F.col("path").alias("_p"), "sha256")
+    j = paths.join(known, (F.col("lib") == F.col("_l")) & (F.col("path") == F.col("_p")), "left")
+    what = F.coalesce(F.concat(F.lit("#"), "sha256"), F.concat(F.lit("/"), "path"))
+    first = j.groupBy(group, what.alias("what")).agg(F.min(F.struct("at", "path")).alias("y")).select(group, "y.at.rec_id", "y.at.pos", "y.path")
+    return rank(first, [group], ["rec_id", "pos"], "place").select(group, "place", "path")

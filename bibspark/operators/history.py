@@ -40,3 +40,10 @@ def library_history(log: DataFrame) -> DataFrame:
     """(lib, n_versions, n_restores, last_ts)."""
     v = versions(log)
     return v.groupBy("lib").agg(F.count("*").alias("n_versions"), F.sum((F.col("kind") == "restore").cast("long")).alias("n_restores"), F.max("ts").alias("last_ts"))
+
+
+def beyond(log: DataFrame, keep: int) -> DataFrame:
+    """(lib, version_no): versions that go when each library keeps its newest ``keep``; the current content's version stays."""
+    v = versions(log).select("lib", "version_no")
+    oldest = v.withColumn("r", F.row_number().over(Window.partitionBy("lib").orderBy(F.desc("version_no")))).where(F.col("r") == keep).select("lib", F.col("version_no").alias("kept"))
+    return v.join(oldest, "lib").join(cursors(log), "lib").where((F.col("version_no") < F.col("kept")) & (F.col("version_no") != F.col("cursor"))).select("lib", "version_no")

@@ -128,6 +128,6 @@ def best_record(df: DataFrame, group: str, order: str = "rec_id") -> DataFrame:
     return best.select(group, f"b.{order}", "b.score")
 
 
-def exact_unique(df: DataFrame, order: str = "rec_id") -> DataFrame:
-    """(first, copies): one row for each different content, at its first record."""
-    return df.groupBy(F.sha2(F.to_json(B.content()), 256).alias("_c")).agg(F.min(order).alias("first"), F.count("*").alias("copies")).drop("_c")
+def exact_unique(df: DataFrame, order: str = "rec_id", skip: tuple[str, ...] = ()) -> DataFrame:
+    """(first, copies): one row for each different content (but for the fields ``skip``), at its first record."""
+    return df.groupBy(F.sha2(F.to_json(B.content(skip)), 256).alias("_c")).agg(F.min(order).alias("first"), F.count("*").alias("copies")).drop("_c")

@@ -745,3 +745,31 @@ t as (select distinct k from s where not same and k is not null) select rec_id,
 def touched_keys(spark, d):
     """Records split by whether an edit touched their key."""
     return M.touched(*_edited(spark, d), key="rec_id", name="cite_key")
+
+
+@query(f"select rec_id from bib_entry where rec_id is not null and not ({SQL['list_review_required'].split(' where ', 1)[1]})")
+def list_reviewed(spark, d):
+    """Records that need no review."""
+    return S.select(bib(spark, d), ~S.needs_review()).select("rec_id")
+
+
+@query("""select min(rec_id) as first, count(*) as copies from bib_entry group by coalesce(entry_type, ''),
+array_to_string(list_transform(list_sort(list_filter(map_keys(field_map), lambda x: x not in ('file', 'keywords'))), lambda x: x || chr(30) || field_map[x]), chr(31))""")
+def exact_unique_but(spark, d):
+    """One row for each different content, key, attachments and keywords aside."""
+    return I.exact_unique(bib(spark, d), skip=("ID", "file", "keywords"))
+
+
+@query(f"""with m as (select distinct group_no, rec_id from dup_link), l as (select group_no, rec_id, lib, unnest({FILES}) as path, generate_subscripts({FILES}, 1) as pos from m join bib_entry using (rec_id)), {_LIVE},
+p as (select group_no, path, min((rec_id, pos, lib)) as x from l group by 1, 2), c as (select group_no, p.path, x, coalesce('#' || sha256, '/' || p.path) as what from p left join live on live.lib = x[3] and live.path = p.path),
+f as (select group_no, what, min((x, path)) as y from c group by 1, 2) select group_no, row_number() over (partition by group_no order by y) as place, y[2] as path from f""")
+def merge_files_by_content(spark, d):
+    """Attachments of a group, each path and each content once."""
+    return A.merged(_members(spark, d), read(spark, d, "lib_file"), "group_no")
+
+
+@query(_VER + """, o as (select lib, version_no as kept from (select lib, version_no, row_number() over (partition by lib order by version_no desc) as r from v) where r = 3)
+select v.lib, v.version_no from v join o on o.lib = v.lib join c on c.lib = v.lib where v.version_no < kept and v.version_no <> c.cursor""")
+def versions_beyond(spark, d):
+    """Versions that go when each library keeps its newest three."""
+    return H.beyond(read(spark, d, "history_log"), 3)
