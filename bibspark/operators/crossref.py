@@ -68,10 +68,11 @@ def latest(messages: DataFrame) -> DataFrame:
 
 
 def enrich(bib: DataFrame, messages: DataFrame) -> DataFrame:
-    """(rec_id, field, value): records with a DOI overlaid with the fetched fields; key and file stay."""
+    """(rec_id, field, value): records overlaid with the fetched fields of their DOI; key and file stay, records without a message too."""
     fetched = records(messages).join(latest(messages), "message_id").select("doi_id", F.map_filter("field_map", lambda k, v: k != "file").alias("new"))
-    j = bib.withColumn("doi_id", F.lower(B.field("doi"))).where("doi_id <> ''").join(fetched, "doi_id")
-    return j.select("rec_id", F.explode(B.update_fields(F.col("new"), F.col("field_map"))).alias("field", "value"))
+    j = bib.select("rec_id", "field_map", F.when(B.field("doi") != "", F.lower(B.field("doi"))).alias("doi_id")).join(fetched, "doi_id", "left")
+    none = F.create_map().cast("map<string,string>")
+    return j.select("rec_id", F.explode(B.update_fields(F.coalesce("new", none), F.coalesce("field_map", none))).alias("field", "value"))
 
 
 def ranked(queries: DataFrame, messages: DataFrame, key: str) -> DataFrame:

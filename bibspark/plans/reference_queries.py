@@ -611,7 +611,7 @@ _FETCHED = {
 n as (select d, j, coalesce(json_extract_string(j, '$.type'), 'misc') as t from q where r = 1),
 f as (select d, unnest([{", ".join(f"{{'k': '{k}', 'v': {v}}}" for k, v in _FETCHED.items())}]) as x from n),
 g as (select d, x.k as field, x.v as value from f where coalesce(x.v, '') <> ''),
-b as (select rec_id, lower({fv('doi')}) as d, field_map from bib_entry where {fv('doi')} <> '' and lower({fv('doi')}) in (select d from n)),
+b as (select rec_id, lower({fv('doi')}) as d, field_map from bib_entry),
 o as (select rec_id, d, unnest(map_entries(field_map)) as kv from b)
 select rec_id, field, value from b join g using (d) union all select rec_id, kv.key as field, kv.value as value from o where not exists (select 1 from g where g.d = o.d and g.field = o.kv.key)"""
 )
