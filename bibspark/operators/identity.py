@@ -7,15 +7,18 @@ back (adaptive execution splits a hot class on the record side).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bib as B
 from ..tables import cut
-from .ordered import earlier_min, placed, runs
+from .ordered import placed, runs
 
 # fixed values: levels of similarity
 LEVELS = {"EXACT": 104, "GOOD": 103, "FAIR": 102, "PARTIAL": 101}
+#: records of a range that is folded in one task
+FOLD_ROWS = 1 << 18
 
 
 def identities(df: DataFrame) -> DataFrame:
@@ -89,37 +92,81 @@ def adjacent_runs(df: DataFrame, key: Column, within: str, order: list[str], ide
     return d.join(n, [within, "run"]).select(within, ident, "run", "n")
 
 
+def _folded(records: DataFrame, came: DataFrame | None, names: list[str], parts: int, order: str, rows: bool) -> DataFrame:
+    """The fold over the records of each range ``_p`` in their order, after what ``came`` into it from earlier ranges.
+
+    ``rows``: (order, group_first) of every record. Else (_p, kind, key, low, was) of each class that was asked for (all
+    of them in the first round): its smallest group up to the end of the range, and what had come into it.
+    """
+    m, first = len(names), came is None
+    value = records.schema["o"].dataType.simpleString()
+
+    def fold(batches):
+        at, low, asked, kind_of = None, [], [], None
+
+        def minima():
+            for k in range(m) if at is not None else ():
+                keys = list(low[k]) if first else list(asked[k])
+                cols = [[at] * len(keys), [k] * len(keys), keys, [low[k][x] for x in keys], [asked[k].get(x) for x in keys]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), kind_of, kind_of))], names=["_p", "kind", "key", "low", "was"])
+
+        for b in batches:
+            kind_of, groups, out = b.schema.field("o").type, [], []
+            for p, kind, o, *ids in zip(*(b.column(x).to_pylist() for x in ("_p", "kind", "o", *names))):
+                if p != at:
+                    if not rows:
+                        yield from minima()
+                    at, low, asked = p, [{} for _ in names], [{} for _ in names]
+                if kind < m:  # what comes in
+                    asked[kind][ids[0]] = o
+                    if o is not None:
+                        low[kind][ids[0]] = o
+                    continue
+                g = o
+                for x, l in zip(ids, low):
+                    if x is not None and (y := l.get(x, g)) < g:
+                        g = y
+                for x, l in zip(ids, low):
+                    if x is not None:
+                        l[x] = g
+                if rows:
+                    out.append(o)
+                    groups.append(g)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, kind_of), pa.array(groups, kind_of)], names=[order, "group_first"])
+        if not rows:
+            yield from minima()
+
+    d = records.select("_p", F.lit(m).alias("kind"), "o", *names)
+    if came is not None:
+        d = d.unionByName(came.select("_p", "kind", "o", F.col("key").alias(names[0])), allowMissingColumns=True)
+    return d.repartition(parts, "_p").sortWithinPartitions("_p", "kind", "o").mapInArrow(fold, f"`{order}` {value}, group_first {value}" if rows else f"_p int, kind int, key long, low {value}, was {value}")
+
+
 def greedy_groups(df: DataFrame, order: str = "rec_id", by_key: bool = False) -> DataFrame:
     """(order, group_first): each record joins the earliest group that holds an earlier record equal to it
     (PARTIAL level, or with ``by_key`` the same key), else it founds one; groups never merge later.
 
-    The fold is a fixpoint of a running minimum over earlier records of the same identity: a record's group is final
-    once those of all earlier records that it shares an identity with are. Rounds are as many as the longest chain.
+    Ranges of at most about ``FOLD_ROWS`` records are folded in their order, all ranges at once; what a range leaves to the
+    later ones is the smallest group of each class. Rounds go on until nothing new comes into any range: as many as a
+    chain of records crosses ranges, the number of ranges at most, one if the records fit one range.
     """
     ids = {"d": F.when(F.col("doi_id") != "", F.xxhash64("doi_id")), "a": F.when(F.col("at_id") != "", F.xxhash64("at_id"))}
     if by_key:
         ids["k"] = F.when(F.col("cite_key") != "", F.xxhash64("cite_key"))
-    d = identities(df).select(F.col(order).alias("o"), *[c.alias(k) for k, c in ids.items()])
-    # records that share no identity with an earlier one are done
-    first = d
-    for k in ids:
-        g = d.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.count("*").alias(f"n_{k}"))
-        first = first.join(g, F.col(k) == F.col("_k"), "left").drop("_k")
-    first = cut(first)
-    shared = F.greatest(*[F.coalesce(f"n_{k}", F.lit(0)) for k in ids]) > 1
-    alone, d = first.where(~shared).select(F.col("o").alias(order), F.col("o").alias("group_first")), first.where(shared).select("o", *ids)
-    for k in ids:
-        d = placed(d, [k], ["o"]).withColumnRenamed("_p", f"_p{k}")
-    d = d.withColumn("g", F.col("o"))
-    places = [f"_p{k}" for k in ids]
-    while True:
-        for k in ids:
-            d = earlier_min(d, k, "o", "g", f"_{k}", f"_p{k}").withColumn(f"_{k}", F.when(F.col(k).isNotNull(), F.col(f"_{k}")))
-        d = d.withColumn("h", F.coalesce(F.least(*[f"_{k}" for k in ids]), F.col("o")))
-        d = cut(d.select("o", *ids, *places, F.col("h").alias("g"), (F.col("h") != F.col("g")).alias("moved")))
-        if d.where("moved").isEmpty():
-            return alone.unionByName(d.select(F.col("o").alias(order), F.col("g").alias("group_first")))
-        d = d.drop("moved")
+    names = list(ids)
+    d = cut(identities(df).select(F.col(order).alias("o"), *[c.alias(k) for k, c in ids.items()]))
+    unplaced, d = d.where("o is null").select(F.col("o").alias(order), F.col("o").alias("group_first")), d.where("o is not null")
+    parts = max(1, -(-d.count() // FOLD_ROWS))
+    d, came, moved = placed(d, [], ["o"], parts) if parts > 1 else d.withColumn("_p", F.lit(0)), None, parts > 1
+    of_class = Window.partitionBy("kind", "key")
+    before = of_class.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    while moved:
+        # into each range comes, for classes of several ranges, the smallest group of the ranges before it
+        left = _folded(d, came, names, parts, order, rows=False).withColumns({"n": F.count("*").over(of_class), "o": F.min("low").over(before)})
+        came = cut(left.where("n > 1").select("_p", "kind", "key", "o", (~F.col("o").eqNullSafe(F.col("was"))).alias("moved")))
+        moved = not came.where("moved").isEmpty()
+    return unplaced.unionByName(_folded(d, came, names, parts, order, rows=True))
 
 
 def best_record(df: DataFrame, group: str, order: str = "rec_id") -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,21 @@ def test_greedy_matches_replay(spark, sf):
     assert {r[0]: r[1] for r in I.greedy_groups(d).collect()} == replay(rows)
 
 
+def test_greedy_in_ranges(spark, monkeypatch):
+    """However the records are cut in ranges, the groups are those of a replay, and rounds do not grow with the longest chain."""
+    r = random.Random(1)
+    rows = [(i, f"10.1234/x{i // 2}", f"t{(i + 1) // 2}") for i in range(1, 61)]  # one chain: DOI and title in turn
+    rows += [(i, f"10.1234/y{r.randrange(60)}" if r.random() < 0.8 else "", f"u{r.randrange(60)}" if r.random() < 0.8 else "") for i in range(61, 161)]
+    d = spark.createDataFrame([(i, None, {"doi": x, "title": t}) for i, x, t in rows], "rec_id long, cite_key string, field_map map<string,string>").repartition(3)
+    cuts, cut = [], I.cut
+    monkeypatch.setattr(I, "cut", lambda x: cuts.append(1) or cut(x))
+    assert {x[0]: x[1] for x in I.greedy_groups(d).collect()} == replay(rows)
+    assert len(cuts) < 4
+    monkeypatch.setattr(I, "FOLD_ROWS", 40)
+    assert {x[0]: x[1] for x in I.greedy_groups(d).collect()} == replay(rows)
+    assert len(cuts) < 12
+
+
 def test_merge(spark):
     d = bib(spark, [{"a": "1", "b": "x", "c": ""}, {"a": "1", "b": "y", "doi": "10.1234/good1"}, {"d": "z"}]).withColumn("g", F.lit(1))
     m = {r["field"]: r["merged"] for r in M.merge_fields(d, "g").collect()}
