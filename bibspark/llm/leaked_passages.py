@@ -43,6 +43,9 @@ RATE = 0.13
 COMMON = 0.01
 
 _WORD = re.compile(r"\w+")
+#: end of a sentence or a colon, with closing signs; words that an instruction speaks of its task with
+_ENDS = re.compile(r"[.!?:…]+[\"'”’»)\]]*(?=\s|$)")
+_TASK = re.compile(r"(?i)\b(?:passage|text|questions?|answer|read|below|following)\b")
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]")
 
 
@@ -53,9 +56,25 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
+def _instruction(line: str) -> bool:
+    """Whether a first line is an instruction: one sentence, and too short for a stretch or about passage and question."""
+    if len(_ENDS.findall(line)) != 1 or not _ENDS.search(line.rstrip()[-3:]):
+        return False
+    return len(words(line)) < LEAST or len({x.casefold() for x in _TASK.findall(line)}) > 1
+
+
 def passage(text: str | None) -> str:
-    """The passage of an item: its longest line (instruction and question stand on lines of their own)."""
-    return max((text or "").splitlines() or [""], key=len)
+    """The passage of an item: all lines between the instruction, if there is one, and the question on the last line.
+
+    What is left must be able to hold a stretch, else the line is no question or instruction but the passage itself.
+    """
+    lines = [x for x in (text or "").splitlines() if words(x)]
+    enough = lambda part: len(words("\n".join(part))) >= LEAST
+    if len(lines) > 1 and enough(lines[:-1]) and not (len(lines) == 2 and _instruction(lines[0]) and enough(lines[1:])):
+        lines = lines[:-1]
+    if len(lines) > 1 and _instruction(lines[0]) and enough(lines[1:]):
+        lines = lines[1:]
+    return "\n".join(lines)
 
 
 class BitRank:

@@ -40,3 +40,18 @@ def test_blocks_of_items_change_no_row(spark, monkeypatch):
     monkeypatch.setattr(L, "ITEM_WORDS", 50)
     assert rows() == one
     assert rows(take=lambda t: (t or "").splitlines()[0]) == set()
+
+
+def test_passages_of_several_lines(spark):
+    """Every line between instruction and question counts, with stretches across line breaks; a long question does not."""
+    lines = [" ".join(f"w{k}x{j}" for j in range(n)) for k, n in enumerate((20, 7, 30, 9))]
+    ask = " ".join(f"q{j}" for j in range(60)) + "?"
+    ends = "Read the long passage below with care, all of it, and then answer the question that follows."
+    texts = ["\n".join(x) for x in (("Read this.", *lines, ask), (*lines, ask), (ends, "", *lines, ask, ""), (f"{lines[0]}.", f"{lines[2]}.", "Why?"))]
+    assert [L.passage(t) for t in texts[:3]] == ["\n".join(lines)] * 3
+    assert L.passage(texts[3]) == f"{lines[0]}.\n{lines[2]}."
+    assert L.passage("Read this.\n" + lines[0]) == L.passage(lines[0]) == L.passage(lines[0] + "\n" + ask) == lines[0]
+    docs = [(1, lines[0]), (2, f"{lines[0][-30:]} {lines[1]} {lines[2][:25]}"), (3, lines[2]), (4, ask), (5, ends)]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(texts[:3])), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in L.leaked_spans(d, "doc_id", "text", e, "item_id", "text").collect()}
+    assert got == {(i, k) for i in (1, 2, 3) for k in range(3)}
