@@ -1,11 +1,9 @@
 """Personal details in free text: found by a character-level BiLSTM-CRF and replaced with typed placeholders.
 
-1. A quick check marks the places that need the tagger: words that the training sample did not know as ordinary, and
-   signs and numbers that occur in details. It is part of the trained model (``known`` words beside the weights) and
-   loses no more than 1 in 1,000 labelled details (measured by pii_train and in the tests). Unknown text passes whole.
-2. The places with their context are cut into overlapping windows of characters; the windows of a block of texts are
-   decoded together by Viterbi. The tags of overlapping windows are reconciled: each character takes its tag from the
-   window in which it lies most central, and a stretch that crosses windows is one.
+1. Every text is cut whole into overlapping windows of characters, whatever its words: a detail may consist of ordinary or
+   of very short words. (Training uses ``windows``, the places with words that are not ordinary, signs and numbers.)
+2. The windows of a block of texts are decoded together by Viterbi. The tags of overlapping windows are reconciled: each
+   character takes its tag from the window in which it lies most central, and a stretch that crosses windows is one.
 3. Each run of one tag is a detail of that kind. ``settle`` then sets its edges to whole words and drops runs that no
    detail can be (no digit in a number, no letter in a name). It knows no words, names or places.
 
@@ -49,7 +47,7 @@ FEW = 40
 
 
 def windows(text: str, known: set[str]) -> list[tuple[int, int]]:
-    """Stretches of ``text`` that need the tagger, as overlapping windows of at most WINDOW characters."""
+    """Stretches of ``text`` that the tagger is trained on, as overlapping windows of at most WINDOW characters."""
     hits = [m.span() for m in SIGNS.finditer(text)]
     unknown = set(WORD.findall(text)) - known
     if len(unknown) > FEW:
@@ -70,13 +68,20 @@ def windows(text: str, known: set[str]) -> list[tuple[int, int]]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
+    return [w for a, b in merged for w in _cut(a, b)]
+
+
+def _cut(a: int, b: int) -> list[tuple[int, int]]:
     out = []
-    for a, b in merged:
-        while b - a > WINDOW:
-            out.append((a, a + WINDOW))
-            a += WINDOW - OVERLAP
-        out.append((a, b))
-    return out
+    while b - a > WINDOW:
+        out.append((a, a + WINDOW))
+        a += WINDOW - OVERLAP
+    return [*out, (a, b)]
+
+
+def all_windows(text: str) -> list[tuple[int, int]]:
+    """The whole of ``text`` as overlapping windows; none of a blank text."""
+    return _cut(0, len(text)) if text.strip() else []
 
 
 _EDGE = re.compile(r"^[^\w+(@]+|[^\w)]+$")
@@ -135,7 +140,7 @@ class Finder:
         """Tags of the characters of all texts one after the other, and where each text begins."""
         start = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         out = np.zeros(int(start[-1]), np.int8)
-        spans = np.array([(start[k] + a, start[k] + b) for k, t in enumerate(texts) for a, b in windows(t, self.known)], np.int64).reshape(-1, 2)
+        spans = np.array([(start[k] + a, start[k] + b) for k, t in enumerate(texts) for a, b in all_windows(t)], np.int64).reshape(-1, 2)
         if not len(spans):
             return out, start
         codes = self.alphabet.encode("".join(texts))

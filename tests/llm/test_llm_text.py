@@ -274,6 +274,14 @@ def test_names_and_towns_of_no_list(text, want):
     assert pii.mask(text, pii.finder().spans([text])[0]) == want
 
 
+@pytest.mark.parametrize("text, want", [("author = {Moore, K. and Field, M.},", "author = {[NAME] and [NAME]},"), ("The reading by Moore, J. and Field, R. in the library.", "The reading by [NAME] and [NAME] in the library.")])
+def test_names_of_ordinary_words(text, want):
+    """The tagger reads whole texts, also places where every word is an ordinary one."""
+    f = pii.finder()
+    assert not pii.windows(text, f.known)
+    assert pii.mask(text, f.spans([text])[0]) == want
+
+
 @pytest.mark.parametrize("a, b, kind, want", [(9, 17, "name", "Ann Smith"), (0, 3, "phone", None), (12, 16, "name", None), (24, 41, "phone", "+44 20 7946 0508")])
 def test_settle(a, b, kind, want):
     text = "Dear Mrs Ann Smith, call +44 20 7946 0508."
